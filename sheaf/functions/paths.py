@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Nested ``when`` chains that repeat their input grow exponentially in the
+    plan; binding the input keeps them small.
+    """
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)
+
+
 def base_name(path: Column) -> Column:
     """Text after the last slash."""
     return F.substring_index(path, "/", -1)
@@ -19,10 +31,7 @@ def extension(path: Column) -> Column:
 
 def strip_extension(path: Column) -> Column:
     """The path without the last dot of its file name and what follows it."""
-    return F.when(
-        F.contains(base_name(path), F.lit(".")),
-        F.substring(path, F.lit(1), F.length(path) - F.length(extension(path)) - F.lit(1)),
-    ).otherwise(path)
+    return F.regexp_replace(path, r"\.[^./]*+\z", "")
 
 
 def _resolve(path: Column) -> Column:
@@ -43,13 +52,17 @@ def _resolve(path: Column) -> Column:
     return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
+def _clean(path: Column) -> Column:
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|$)") & (path != "/"), _resolve(path)).otherwise(path)
+
+
 def clean_path(path: Column) -> Column:
     """Resolve ``.``, ``..`` and doubled slashes; an empty relative path becomes ``.``.
 
     Most paths need nothing, so the segment fold only runs where a cheap test
     finds an empty or dot segment.
     """
-    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|$)") & (path != "/"), _resolve(path)).otherwise(path)
+    return let(path, _clean)
 
 
 def relative_path(path: Column, base: str) -> Column:
@@ -57,16 +70,19 @@ def relative_path(path: Column, base: str) -> Column:
 
     Only whole segments count as a prefix: ``/a/b`` does not contain ``/a/bc``.
     """
-    root = _resolve_text(base)
-    cleaned = clean_path(path)
+    root = resolve_text(base)
     if root == ".":
-        return cleaned
+        return clean_path(path)
     prefix = root if root == "/" else root + "/"
-    return (
-        F.when(cleaned == root, F.lit(""))
-        .when(F.startswith(cleaned, F.lit(prefix)), F.substring(cleaned, F.lit(len(prefix) + 1), F.length(cleaned)))
-        .otherwise(cleaned)
-    )
+
+    def below(cleaned: Column) -> Column:
+        return (
+            F.when(cleaned == root, F.lit(""))
+            .when(F.startswith(cleaned, F.lit(prefix)), F.substring(cleaned, F.lit(len(prefix) + 1), F.length(cleaned)))
+            .otherwise(cleaned)
+        )
+
+    return let(clean_path(path), below)
 
 
 def display_path(path: Column, work_dir: str) -> Column:
@@ -75,22 +91,26 @@ def display_path(path: Column, work_dir: str) -> Column:
     Backslashes become slashes and a drive letter is dropped. Only whole
     segments of the work folder are replaced.
     """
-    folder = _resolve_text(_plain(work_dir).lstrip("/"))
+    folder = resolve_text(_plain(work_dir).lstrip("/"))
     last = folder.rsplit("/", 1)[-1]
-    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^.:", "")
-    inner = clean_path(F.when(F.startswith(plain, F.lit("/")), F.substring(plain, F.lit(2), F.length(plain))).otherwise(plain))
-    below = (
-        F.when(inner == folder, F.lit(""))
-        .when(
-            F.startswith(inner, F.lit(folder + "/")),
-            F.substring(inner, F.lit(len(folder) + 2), F.length(inner)),
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:.:)?+/?+", "")
+
+    def below(inner: Column) -> Column:
+        return (
+            F.when(inner == folder, F.lit(""))
+            .when(
+                F.startswith(inner, F.lit(folder + "/")),
+                F.substring(inner, F.lit(len(folder) + 2), F.length(inner)),
+            )
+            .otherwise(inner)
         )
-        .otherwise(inner)
-    )
-    shown = F.when(below.isin("", "."), F.lit(last)).otherwise(clean_path(F.concat(F.lit(last + "/"), below)))
-    if last in (".", ""):
-        shown = F.when(below == "", F.lit(".")).otherwise(below)
-    return F.when(path == "", F.lit(last)).otherwise(shown)
+
+    def shown(rest: Column) -> Column:
+        if last in (".", ""):
+            return F.when(rest == "", F.lit(".")).otherwise(rest)
+        return F.when(rest.isin("", "."), F.lit(last)).otherwise(clean_path(F.concat(F.lit(last + "/"), rest)))
+
+    return let(let(clean_path(plain), below), shown)
 
 
 def segments(path: Column) -> Column:
@@ -100,15 +120,16 @@ def segments(path: Column) -> Column:
 
 def common_segments(left: Column, right: Column) -> Column:
     """How many leading segments two segment arrays share."""
-    shortest = F.least(F.size(left), F.size(right))
-    return F.when(shortest <= 0, F.lit(0)).otherwise(
-        F.size(
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(shortest, F.lit(1))),
-                lambda n: F.slice(left, F.lit(1), n) == F.slice(right, F.lit(1), n),
-            )
+
+    def count(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        same = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))),
+            lambda n: F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n),
         )
-    )
+        return F.when(F.least(F.size(a), F.size(b)) <= 0, F.lit(0)).otherwise(F.size(same))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), count)
 
 
 def _plain(text: str) -> str:
@@ -116,13 +137,7 @@ def _plain(text: str) -> str:
     return text[2:] if text[1:2] == ":" else text
 
 
-def _resolve_text(text: str) -> str:
-    import posixpath
-
-    resolved = posixpath.normpath(text) if text else "."
-    return "/" + resolved.lstrip("/") if resolved.startswith("/") else resolved
-
-
 def resolve_text(text: str) -> str:
     """Driver-side form of :func:`clean_path` for arguments."""
-    return _resolve_text(text)
+    resolved = posixpath.normpath(text) if text else "."
+    return "/" + resolved.lstrip("/") if resolved.startswith("/") else resolved

@@ -177,7 +177,10 @@ RULES: dict[str, Rules] = {
         accessors=(
             Accessor(rf"{_KT_HEAD}fun[ \t]+(?:<[^>]*>[ \t]*)?(?:\w+\.)?(?i:get|set)\w*[ \t]*\("),
             Accessor(rf"{_KT_HEAD}(?:val|var)[ \t][^=(]*[ \t](?:get|set)[ \t]*\("),
-            Accessor(rf"{_KT_HEAD}(?:get|set)[ \t]*(?:\(|[ \t\r]*$)", attached=True),
+            Accessor(
+                rf"{_KT_HEAD}(?:get[ \t]*(?:\([ \t]*\)[ \t]*[:={{]|$)|set[ \t]*(?:\([^()]*\)[ \t]*[={{]|$))",
+                attached=True,
+            ),
         ),
         lead=rf"(?:{_KT_HEAD}(?:val|var)[ \t]|{ANNOTATION})",
         expression_bodies=True,

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.paths import resolve_text, segments, strip_extension
+from sheaf.functions.paths import let, resolve_text, segments, strip_extension
 from sheaf.options import output_format
 
 # an output list up to this many prefixes becomes a literal in the plan; longer ones are joined
@@ -79,12 +79,15 @@ def assign_outputs(df: DataFrame, outputs: Sequence[str], path: str = "path") ->
         return df.join(chosen, path).withColumn("output", F.coalesce("output", F.lit(unmatched_output(outputs))))
     lookup = F.create_map(*[F.lit(x) for pair in owner.items() for x in pair])
     deepest = max(key.count("/") for key in owner) + 1
-    parts = segments(strip_extension(F.col(path)))
-    found: list[Column] = [
-        F.when(F.size(parts) >= n, F.try_element_at(lookup, F.array_join(F.slice(parts, 1, n), "/")))
-        for n in range(deepest, 0, -1)
-    ]
-    return df.withColumn("output", F.coalesce(*found, F.lit(unmatched_output(outputs))))
+
+    def longest(parts: Column) -> Column:
+        found = [
+            F.when(F.size(parts) >= n, F.try_element_at(lookup, F.array_join(F.slice(parts, 1, n), "/")))
+            for n in range(deepest, 0, -1)
+        ]
+        return F.coalesce(*found, F.lit(unmatched_output(outputs)))
+
+    return df.withColumn("output", let(segments(strip_extension(F.col(path))), longest))
 
 
 def assign_to_table(df: DataFrame, outputs: DataFrame, path: str = "path") -> DataFrame:

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import glob_filter
-from sheaf.functions.paths import relative_path
+from sheaf.functions.paths import clean_path, let, relative_path
 
 
 def below_roots(path: Column, roots) -> Column:
     """Path relative to the first root that contains it."""
-    out = None
-    for root in roots:
-        inside = relative_path(path, root)
-        out = F.when(inside != path, inside) if out is None else out.when(inside != path, inside)
-    return path if out is None else out.otherwise(path)
+    def first_inside(whole: Column) -> Column:
+        found = [F.nullif(relative_path(whole, root), whole) for root in roots]
+        return F.coalesce(*found, whole)
+
+    return let(clean_path(path), first_inside) if roots else path
 
 
 def select_paths(
