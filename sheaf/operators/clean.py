@@ -9,6 +9,7 @@ from sheaf.functions import rules as R
 from sheaf.functions.languages import LANGUAGES
 from sheaf.operators import spans as S
 from sheaf.operators.comments import strip_comments
+from sheaf.operators.settle import settle
 from sheaf.operators.whitespace import optimize_whitespace
 from sheaf.options import CleanOptions
 
@@ -68,14 +69,13 @@ def clean(
         done = strip_comments(done, lang, options.preserve_doc_comments)
     if options.optimize_whitespace:
         done = optimize_whitespace(done, options.remove_empty_lines)
-    out = out.withColumn(content, F.when(F.col("_fine"), done).otherwise(text))
     status = (
         F.when(F.col("_fine"), F.lit("cleaned"))
         .when(lang.isin(*LANGUAGES), F.lit("failed"))
         .otherwise(F.lit("unchanged"))
     )
-    used = ["_mask", "_ok", "_fine", "_cut"] + [f"_{p}_{k}" for p in "fs" for k in kinds]
-    return out.withColumn(STATUS, status).drop(*used)
+    result = {content: F.when(F.col("_fine"), done).otherwise(text), STATUS: status}
+    return settle(out, result, [c for c in df.columns if c not in result])
 
 
 def _whole_line(pattern: str) -> str:

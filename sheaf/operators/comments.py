@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.lexing import LEXICONS, comment_regex
+from sheaf.operators.settle import settle
 
 
 def strip_comments(text: Column, language: Column, preserve_docs: bool = True) -> Column:
@@ -34,7 +35,5 @@ def remove_comments(
 ) -> DataFrame:
     """Row-wise comment removal. Bytes that are not UTF-8 are left alone."""
     text = F.col(content)
-    return df.withColumn(
-        content,
-        F.when(F.is_valid_utf8(text), strip_comments(text, F.col(language), preserve_docs)).otherwise(text),
-    )
+    kept = F.when(F.is_valid_utf8(text), strip_comments(text, F.col(language), preserve_docs)).otherwise(text)
+    return settle(df, {content: kept}, [c for c in df.columns if c != content])
