@@ -12,10 +12,12 @@ A removed piece leaves the line end it had.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.operators.spans import quote
 from sheaf.sources.tables import to_corpus
 
 CODE, IMPORT, COMMENT, DOC, LOG, ACC = "code", "import", "comment", "doc", "log", "acc"
@@ -274,8 +276,8 @@ FILES: list[tuple[str, str, list[tuple]]] = [
             (DOC, "/** Doc of {w} */"),
             (COMMENT, "// plain {w}'s"),
             (CODE, "class P{id} {"),
-            (ACC, "    var name: String\n        get() = field"),
-            (ACC, "        set(value) {\n            field = value\n        }"),
+            (ACC, "    var name: String\n        get() = field\n        set(value) {\n            field = value\n        }"),
+            (CODE, "    val plain: Int = 2"),
             (ACC, "    fun getSize(): Int = size"),
             (ACC, "    fun setSize(n: Int) {\n        size = n\n    }"),
             (CODE, "    val kept: Int = 1"),
@@ -324,31 +326,28 @@ def kept_text(language: str, piece: tuple, remove: set[str], docs_are_comments:
     return text + "\n"
 
 
-def _columns(template: str) -> Column:
-    values = {"{id}": F.col("p_partkey").cast("string"), "{w}": F.col("p_name"), "{b}": F.col("p_brand")}
-    parts = [values.get(p, F.lit(p)) for p in PLACE.split(template) if p]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def _assemble(template: str, text_type: str, quote: Callable[[str], str]) -> str:
+    values = {"{id}": f"CAST(p_partkey AS {text_type})", "{w}": "p_name", "{b}": "p_brand"}
+    parts = [values.get(p) or quote(p) for p in PLACE.split(template) if p]
+    return "(" + " || ".join(parts or ["''"]) + ")"
 
 
 def _sql(template: str) -> str:
-    values = {"{id}": "CAST(p_partkey AS VARCHAR)", "{w}": "p_name", "{b}": "p_brand"}
-    parts = [values.get(p) or "'" + p.replace("'", "''") + "'" for p in PLACE.split(template) if p]
-    return "(" + " || ".join(parts or ["''"]) + ")"
+    return _assemble(template, "VARCHAR", lambda p: "'" + p.replace("'", "''") + "'")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus columns plus ``file_id``."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
-    kind = F.col("p_partkey") % len(FILES)
-    content = suffix = None
+    texts, suffixes = [], []
     for i, (language, ext, pieces) in enumerate(FILES):
-        text = "".join(piece_text(p) for p in pieces)
-        body = _columns(text)
+        body = _assemble("".join(piece_text(p) for p in pieces), "STRING", quote)
         if language not in NOT_PARSED:
-            broken = F.concat(body, F.lit("broken(\n"))
-            body = F.when(F.col("p_partkey") % BROKEN_EVERY == 0, broken).otherwise(body)
-        content = F.when(kind == i, body) if content is None else content.when(kind == i, body)
-        suffix = F.when(kind == i, ext) if suffix is None else suffix.when(kind == i, ext)
+            body += f" || IF(p_partkey % {BROKEN_EVERY} = 0, 'broken(\\n', '')"
+        texts.append(f"WHEN {i} THEN {body}")
+        suffixes.append(f"WHEN {i} THEN '{ext}'")
+    case = f"CASE p_partkey % {len(FILES)} "
+    content, suffix = (F.expr(case + " ".join(arms) + " END") for arms in (texts, suffixes))
     path = F.concat(
         F.lit("src/"), F.col("p_brand"), F.lit("/P"), F.col("p_partkey").cast("string"), F.lit("."), suffix
     )

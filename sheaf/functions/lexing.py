@@ -55,6 +55,8 @@ class Lexicon:
     docs: tuple[str, ...] = ()
     # characters that can open a token; everything else is skipped in runs
     openers: str = r"""\"'/"""
+    # what a text may begin with, at any character
+    head: str = ""
     # substrings without which a text holds no comment
     markers: tuple[str, ...] = ("//", "/*")
     balanced: str = "()[]{}"
@@ -67,7 +69,7 @@ _JS = Lexicon((DOUBLE, SINGLE, TEMPLATE, REGEX_LITERAL), (LINE, BLOCK), _BLOCK_D
 LEXICONS: dict[str, Lexicon] = {
     "go": Lexicon((DOUBLE, "`[^`]*+`", SINGLE), (LINE, BLOCK), _C_DOCS, r"""\"'`/"""),
     "java": Lexicon((TRIPLE, DOUBLE, SINGLE), (LINE, BLOCK), _BLOCK_DOCS),
-    "python": Lexicon((TRIPLE, TRIPLE_SINGLE, DOUBLE, SINGLE), (HASH,), (), r"""\"'#""", ("#",)),
+    "python": Lexicon((TRIPLE, TRIPLE_SINGLE, DOUBLE, SINGLE), (HASH,), (), r"""\"'#""", markers=("#",)),
     "javascript": _JS,
     "typescript": _JS,
     "html": Lexicon(
@@ -78,10 +80,10 @@ LEXICONS: dict[str, Lexicon] = {
         (r"<!--(?s:.*?)-->",),
         (r"<!--(?s:.*?)-->",),
         "<",
-        ("<!--",),
-        "",
+        markers=("<!--",),
+        balanced="",
     ),
-    "css": Lexicon((DOUBLE, SINGLE, r"""url\([^)"']*+\)"""), (BLOCK,), (BLOCK,), r"""\"'/u""", ("/*",)),
+    "css": Lexicon((DOUBLE, SINGLE, r"""url\([^)"']*+\)"""), (BLOCK,), (BLOCK,), r"""\"'/u""", markers=("/*",)),
     "cpp": Lexicon(
         (r'R"(?<tag>[^()\\\s]{0,16})\((?s:.*?)\)\k<tag>"', DOUBLE, rf"(?<![0-9]){SINGLE}"),
         (LINE, BLOCK),
@@ -96,7 +98,6 @@ LEXICONS: dict[str, Lexicon] = {
     ),
     "php": Lexicon(
         (
-            r"\A(?s:.*?)<\?(?:php|=)?+",
             r"\?>(?s:.*?)(?:<\?(?:php|=)?+|\z)",
             PHP_HEREDOC,
             DOUBLE_LINES,
@@ -105,22 +106,23 @@ LEXICONS: dict[str, Lexicon] = {
         (r"//(?:(?!\?>)[^\n])*+", r"#(?!\[)(?:(?!\?>)[^\n])*+", BLOCK),
         _BLOCK_DOCS,
         r"""\"'/#<?""",
-        ("//", "/*", "#"),
+        head=r"\A(?s:.*?)<\?(?:php|=)?+",
+        markers=("//", "/*", "#"),
     ),
     "ruby": Lexicon(
         (HEREDOC, DOUBLE_LINES, SINGLE_LINES, "`[^`]*+`"),
         (r"(?m:^)=begin\b(?s:.*?)(?m:^)=end\b[^\n]*+", r"(?<![?$\\])#(?!\{)[^\n]*+"),
         (r"(?<![?$\\])#(?!\{)[^\n]*+",),
         r"""\"'`#<=""",
-        ("#", "=begin"),
+        markers=("#", "=begin"),
     ),
     "bash": Lexicon(
         (rf"\\{ANY}", HEREDOC, DOUBLE_LINES, "'[^']*+'"),
         (r"(?<![^\s;&|()])#[^\n]*+",),
         (r"(?<![^\s;&|()])#[^\n]*+",),
         r"""\\"'#<""",
-        ("#",),
-        "",
+        markers=("#",),
+        balanced="",
     ),
     "swift": Lexicon(
         (r'#"(?s:.*?)"#', TRIPLE, _interpolated("(", ")", r"\\")),
@@ -138,45 +140,62 @@ LEXICONS: dict[str, Lexicon] = {
         (r"--[^\n]*+", BLOCK),
         (r"--[^\n]*+",),
         r"""\"'/$\-""",
-        ("--", "/*"),
+        markers=("--", "/*"),
     ),
 }
 
 # fixed flags: only \n ends a line
 FLAGS = "(?d)"
+QUOTES = "\"'`"
 
 
 def any_of(patterns) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
+def _token_start(lex: Lexicon) -> str:
+    """Cheap first test: most characters cannot open a token."""
+    return f"(?=[{lex.openers}])"
+
+
+# what a match of ``comment_regex`` is replaced by
+KEPT = "${head}${kept}${doc}"
+
+
 def comment_regex(language: str, preserve_docs: bool) -> str:
-    """Matches to be replaced by ``$1``: kept strings and docs are captured, comments are not.
+    """Kept strings and docs are captured, comments are not.
 
     A comment alone on its lines goes with its indentation, the line end stays.
     """
     lex = LEXICONS[language]
-    kept = list(lex.strings)
-    if preserve_docs and lex.docs:
-        docs = any_of(lex.docs)
-        kept += [rf"(?m:^)[ \t]*+{docs}", docs]
+    docs = any_of(lex.docs) if preserve_docs and lex.docs else "(?!)"
     comment = any_of(lex.comments)
-    whole = rf"(?m:^)[ \t]*+(?:{comment}[ \t\r]*+)++(?m:$)"
-    return f"{FLAGS}({'|'.join(kept)})|{whole}|{comment}" if kept else f"{FLAGS}()(?:{whole}|{comment})"
+    whole = rf"(?:{comment}[ \t\r]*+)++(?m:$)"
+    at_token = rf"(?<kept>{'|'.join([*lex.strings, docs])})|(?m:^){whole}|{comment}"
+    indented = rf"(?<doc>(?m:^)[ \t]++{docs})|(?m:^)[ \t]++{whole}"
+    return rf"{FLAGS}(?<head>{lex.head or '(?!)'})|{_token_start(lex)}(?:{at_token})|{indented}"
 
 
-def uncomment_regex(language: str) -> str:
-    """Strings captured, every comment (docs too) matched without a capture."""
-    lex = LEXICONS[language]
-    return f"{FLAGS}({'|'.join(lex.strings)})|{any_of(lex.comments)}"
+# what a match of ``mask_regex`` is replaced by: the quote of a string twice, nothing for a comment
+MASKED = "${quote}${word}${quote}"
 
 
-def string_regex(language: str) -> str:
-    return FLAGS + any_of(LEXICONS[language].strings)
+def mask_regex(language: str, word: str = "(?!)") -> str:
+    """Strings and comments. ``word`` may name first words of a double-quoted string to keep."""
+    lex = LEXICONS[language]
+    strings = any_of(lex.strings) if lex.strings else "(?!)"
+    strings = strings.replace(DOUBLE_LINES, rf'"(?<word>{word})?+' + DOUBLE_LINES[1:])
+    if "(?<word>" not in strings:
+        strings = f"(?:(?<word>(?!))|{strings})"
+    head = f"{lex.head}|" if lex.head else ""
+    quoted = f"(?:(?=(?<quote>[{QUOTES}]))|){strings}"
+    return f"{FLAGS}{head}{_token_start(lex)}(?:{quoted}|{any_of(lex.comments)})"
 
 
 def logical_line_regex(language: str) -> str:
     """One line with its line end; line ends inside strings and comments do not count."""
     lex = LEXICONS[language]
     token = any_of(lex.strings + lex.comments)
-    return rf"{FLAGS}(?:[^{lex.openers}\n]++|{token}|[^\n])++\n?+|\n"
+    plain = rf"[^{lex.openers}\n]*+"
+    head = f"(?:{lex.head})?+" if lex.head else ""
+    return rf"{FLAGS}{head}{plain}(?:(?:{token}|[^\n]){plain})*+\n?+"

@@ -1,7 +1,7 @@
 """Which lines open a logging call, an accessor or an import, per language.
 
-Patterns are tested on *masked* lines: strings are ``""`` and comments are
-gone. A new language is one more entry here and in ``lexing``.
+Patterns are tested at the line starts of *masked* text: strings are emptied
+and comments are gone. A new language is one more entry here and in ``lexing``.
 """
 
 from __future__ import annotations
@@ -9,17 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-# bits of what the text of a span must contain to count
-RETURN, ASSIGN, ACCESSOR = 1, 2, 4
+# what the text of a span must contain to count
+RETURN, ASSIGN, ACCESSOR = "return", "assign", "accessor"
 
-# fixed values: tokens behind the bits above
-TOKEN_PATTERNS = {RETURN: r"\breturn\b", ASSIGN: "=", ACCESSOR: r"(?:^|[{;}])[ \t]*(?:[a-z]+[ \t]+)?(?:get|set|init)\b"}
-
-LINE_START = r"^[ \t]*"
+LINE_START = r"^[ \t]*+"
 # a line that ends like this goes on in the next one
-GOES_ON = r"(?:[,.+*/|&=<(\[{\\-]|->)[ \t\r]*$"
-ENDS_STATEMENT = r";[ \t\r]*$"
-ONE_STATEMENT = r"^[^;]*;?[ \t\r]*$"
+GOES_ON = r"(?:[,.+*/|&=<\\-]|->)[ \t\r]*+(?=\n|\z)"
 
 
 @dataclass(frozen=True)
@@ -27,8 +22,8 @@ class Accessor:
     """Header of a getter or setter and what its text must contain."""
 
     header: str
-    needs: int = 0
-    # only counts right below a line that ``lead`` matches
+    needs: str | None = None
+    # only counts right below a property line
     attached: bool = False
 
 
@@ -39,22 +34,24 @@ class Rules:
     accessors: tuple[Accessor, ...] = ()
     # lines directly above an accessor that belong to it
     lead: str | None = None
+    # a line an attached accessor must follow
+    property: str | None = None
     # statements end with a semicolon, not with the line
     semicolons: bool = False
     # an accessor may end without a closing brace
     expression_bodies: bool = False
-    # "brackets", "keywords" (def ... end) or "indent"
+    # "brackets", "keywords" (def ... end), "indent", or "lines" (a match is the whole line)
     blocks: str = "brackets"
 
 
 ANNOTATION = r"^[ \t]*@\w[\w.]*(?:\(.*\))?[ \t\r]*$"
 _JAVA_WORDS = "public|protected|private|static|final|synchronized|abstract|native|default|strictfp"
 _JAVA_HEAD = (
-    rf"{LINE_START}(?:(?:{_JAVA_WORDS}|@\w[\w.]*(?:\([^)]*\))?)[ \t]+)*(?:<[^>()]*>[ \t]*)?"
+    rf"{LINE_START}(?:(?:{_JAVA_WORDS}|@\w[\w.]*+(?:\([^)\n]*+\))?+)[ \t]++)*+(?:<[^>()\n]*+>[ \t]*+)?+"
     r"(?!(?:return|throw|new|else|assert|yield|case|package|import)\b)"
 )
-_JAVA_TYPE = r"[\w.]+(?:<[^(){};=]*>)?[\[\]. ]*[ \t]+"
-_CPP_HEAD = rf"{LINE_START}(?:(?:virtual|static|inline|constexpr|explicit|friend|\[\[\w+\]\])[ \t]+)*"
+_JAVA_TYPE = r"[\w.]++(?:<[^(){};=\n]*>)?+(?:\[\]|\.\.\.)*+[ \t]++"
+_CPP_HEAD = rf"{LINE_START}(?:(?:virtual|static|inline|constexpr|explicit|friend|\[\[\w++\]\])[ \t]++)*+"
 _CS_WORDS = (
     "public|private|protected|internal|static|virtual|override|abstract|sealed|new|readonly|required|unsafe|extern"
 )
@@ -62,14 +59,14 @@ _CS_NOT_TYPE = (
     r"(?!(?:class|struct|interface|enum|namespace|record|return|using|else|try|finally|do|throw|goto|yield|await"
     r"|event|delegate|case|new)\b)"
 )
-_CS_HEAD = rf"{LINE_START}(?:(?:{_CS_WORDS})[ \t]+)*{_CS_NOT_TYPE}"
-_CS_TYPE = r"\w[\w.]*(?:<[^{}()=;]*>)?[\[\],?]*[ \t]+"
-_SWIFT_HEAD = rf"{LINE_START}(?:@?\w+(?:\([^)]*\))?[ \t]+)*?"
+_CS_HEAD = rf"{LINE_START}(?:(?:{_CS_WORDS})[ \t]++)*+{_CS_NOT_TYPE}"
+_CS_TYPE = r"\w[\w.]*+(?:<[^{}()=;\n]*>)?+[\[\],?]*+[ \t]++"
+_SWIFT_HEAD = rf"{LINE_START}(?:@?\w++(?:\([^)\n]*+\))?+[ \t]++)*?"
 _KT_WORDS = (
     "private|protected|internal|public|open|override|abstract|final|inline|lateinit|const|suspend|operator|external"
 )
-_KT_HEAD = rf"{LINE_START}(?:(?:{_KT_WORDS}|@\w[\w.]*(?:\([^)]*\))?)[ \t]+)*"
-_OWNER = r"(?:\w+\.)*"
+_KT_HEAD = rf"{LINE_START}(?:(?:{_KT_WORDS}|@\w[\w.]*+(?:\([^)\n]*+\))?+)[ \t]++)*+"
+_OWNER = r"(?:\w++\.)*"
 
 _JS = Rules(
     logging=rf"{LINE_START}(?:console|logger)\.\w",
@@ -118,19 +115,19 @@ RULES: dict[str, Rules] = {
         imports=rf"{LINE_START}(?:#[ \t]*include\b|using[ \t])",
         accessors=(
             Accessor(
-                rf"{_CPP_HEAD}(?!(?:return|throw|new|delete|else|case|goto)\b)(?![^(]*\bvoid\b)"
-                r"\w[\w:<>,&* \t]*?[ \t&*]+(?:\w+::)*(?:get|Get|is|Is)\w*[ \t]*\([ \t]*\)"
+                rf"{_CPP_HEAD}(?!(?:return|throw|new|delete|else|case|goto)\b)(?![^(\n]*\bvoid\b)"
+                r"\w[\w:<>,&* \t]*[ \t&*](?:\w++::)*+(?:get|Get|is|Is)\w*+[ \t]*+\([ \t]*+\)"
             ),
-            Accessor(rf"{_CPP_HEAD}void[ \t]+(?:\w+::)*[sS]et\w*[ \t]*\([^,()]+\)"),
+            Accessor(rf"{_CPP_HEAD}void[ \t]+(?:\w+::)*[sS]et\w*[ \t]*\([^,()\n]+\)"),
         ),
         semicolons=True,
     ),
     "csharp": Rules(
         logging=rf"{LINE_START}{_OWNER}(?:Console|Debug|Logger|Trace)\.\w",
-        imports=rf"{LINE_START}(?:global[ \t]+)?using[ \t]+(?!var\b)[^(]*;",
+        imports=rf"{LINE_START}(?:global[ \t]+)?using[ \t]+(?!var\b)[^(\n]*;",
         accessors=(
-            Accessor(rf"{_CS_HEAD}{_CS_TYPE}Get\w*(?:<[^>]*>)?[ \t]*\(", RETURN),
-            Accessor(rf"{_CS_HEAD}{_CS_TYPE}Set\w*(?:<[^>]*>)?[ \t]*\(", ASSIGN),
+            Accessor(rf"{_CS_HEAD}{_CS_TYPE}Get\w*(?:<[^>\n]*>)?[ \t]*\(", RETURN),
+            Accessor(rf"{_CS_HEAD}{_CS_TYPE}Set\w*(?:<[^>\n]*>)?[ \t]*\(", ASSIGN),
             Accessor(rf"{_CS_HEAD}{_CS_TYPE}{_CS_NOT_TYPE}\w+[ \t]*(?:\{{.*)?[ \t\r]*$", ACCESSOR),
         ),
         lead=r"^[ \t]*\[\w.*\][ \t\r]*$",
@@ -144,7 +141,7 @@ RULES: dict[str, Rules] = {
         semicolons=True,
     ),
     "ruby": Rules(
-        logging=rf"{LINE_START}(?:(?:puts|print|p)[ ](?!=[^=~])|{_OWNER}logger\.\w)",
+        logging=rf"{LINE_START}(?:(?:puts|print|p)[ ](?!=[^=~\n])|{_OWNER}logger\.\w)",
         imports=rf"{LINE_START}(?:require|require_relative|include)[ \t(]",
         accessors=(
             Accessor(rf"{LINE_START}def[ \t]+[gs]et_"),
@@ -155,9 +152,11 @@ RULES: dict[str, Rules] = {
     ),
     "bash": Rules(
         logging=(
-            rf'{LINE_START}(?:(?:[\w./]*/)?logger\b|(?:echo|printf)[ \t]+"Debug|\w[^;&|]*[ \t]+1?>&2[ \t\r]*$)'
+            rf'{LINE_START}(?:(?:[\w./]*/)?logger\b|(?:echo|printf)[ \t]+"Debug|\w[^;&|\n]*[ \t]+1?>&2[ \t\r]*$)'
+            r"(?=(?:[^;|&\n]|>&)*$)"
         ),
-        imports=rf"{LINE_START}(?:source|\.)[ \t]+\S",
+        imports=rf"{LINE_START}(?:source|\.)[ \t]+\S[^;|&\n]*$",
+        blocks="lines",
     ),
     "swift": Rules(
         logging=rf"{LINE_START}(?:(?:print|debugPrint|NSLog)\(|{_OWNER}logger\.\w)",
@@ -165,7 +164,7 @@ RULES: dict[str, Rules] = {
         accessors=(
             Accessor(rf"{_SWIFT_HEAD}func[ \t]+get\w*", RETURN),
             Accessor(rf"{_SWIFT_HEAD}func[ \t]+set\w*", ASSIGN),
-            Accessor(rf"{_SWIFT_HEAD}var[ \t]+\w+[^={{}}]*\{{", ACCESSOR),
+            Accessor(rf"{_SWIFT_HEAD}var[ \t]+\w+[^={{}}\n]*\{{", ACCESSOR),
         ),
         lead=ANNOTATION,
     ),
@@ -175,14 +174,15 @@ RULES: dict[str, Rules] = {
         ),
         imports=rf"{LINE_START}import[ \t]",
         accessors=(
-            Accessor(rf"{_KT_HEAD}fun[ \t]+(?:<[^>]*>[ \t]*)?(?:\w+\.)?(?i:get|set)\w*[ \t]*\("),
-            Accessor(rf"{_KT_HEAD}(?:val|var)[ \t][^=(]*[ \t](?:get|set)[ \t]*\("),
+            Accessor(rf"{_KT_HEAD}fun[ \t]+(?:<[^>\n]*>[ \t]*)?(?:\w+\.)?(?i:get|set)\w*[ \t]*\("),
+            Accessor(rf"{_KT_HEAD}(?:val|var)[ \t][^=(\n]*[ \t](?:get|set)[ \t]*\("),
             Accessor(
-                rf"{_KT_HEAD}(?:get[ \t]*(?:\([ \t]*\)[ \t]*[:={{]|$)|set[ \t]*(?:\([^()]*\)[ \t]*[={{]|$))",
+                rf"{_KT_HEAD}(?:get[ \t]*(?:\([ \t]*\)[ \t]*[:={{]|$)|set[ \t]*(?:\([^()\n]*\)[ \t]*[={{]|$))",
                 attached=True,
             ),
         ),
-        lead=rf"(?:{_KT_HEAD}(?:val|var)[ \t]|{ANNOTATION})",
+        lead=ANNOTATION,
+        property=rf"{_KT_HEAD}(?:val|var)[ \t]",
         expression_bodies=True,
     ),
     "sql": Rules(imports=r"(?i:^[ \t]*(?:create[ \t]+extension|use)\b)", semicolons=True),
@@ -191,13 +191,13 @@ RULES: dict[str, Rules] = {
 # HTML imports are elements, not statements
 HTML_IMPORTS = r"(?i:<link\b[^>]*+>|<script\b[^>]*+>(?s:.*?)</script\s*+>)"
 
-# lines of Ruby that open a block, and the word that closes one
+# parts of Ruby lines that open a block, and the word that closes one
 RUBY_OPENS = (
     r"(?:^[ \t]*(?:while|until|for)\b.*"
-    r"|^[ \t]*def\b(?![ \t]+[\w.]+[?!]?(?:\([^)]*\))?[ \t]*=[ \t])"
+    r"|^[ \t]*def\b(?![ \t]+[\w.]+[?!]?(?:\([^)\n]*\))?[ \t]*=[ \t])"
     r"|^[ \t]*(?:class|module|if|unless|case|begin)\b"
     r"|=[ \t]*(?:if|unless|case|begin)\b"
-    r"|\bdo\b(?:[ \t]*\|[^|]*\|)?[ \t\r]*$)"
+    r"|\bdo\b(?:[ \t]*\|[^|\n]*\|)?[ \t\r]*$)"
 )
 RUBY_CLOSES = r"(?<![.:\w@$])end\b(?![:?!=\w])"
 

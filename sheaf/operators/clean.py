@@ -22,45 +22,33 @@ def clean(
     """Clean every row's text in place and say how it went in ``clean_status``.
 
     ``cleaned``; ``unchanged`` for languages without rules; ``failed`` for texts
-    that are empty, not UTF-8, have unpaired brackets or a span without an end.
-    Only cleaned rows change. All spans are found on the original text and the
+    that are empty, not UTF-8 or have unpaired brackets. Only cleaned rows change. All spans are found on the original text and the
     outermost wins, so removing one never shifts another.
     """
     options = options or CleanOptions()
-    lang = F.col(language)
-    usable = lang.isin(*LANGUAGES) & (F.octet_length(content) > 0) & F.is_valid_utf8(F.col(content))
-    text = F.col(content)
-    out = df.withColumn("_mask", F.when(usable, S.mask_text(text, lang)))
-    parsed = usable & (F.col("_mask").isNull() | S.is_balanced(F.col("_mask"), lang))
-    out = out.withColumn("_ok", F.coalesce(parsed, F.lit(False)))
+    lang, text = F.col(language), F.col(content)
+    known = ", ".join(f"'{name}'" for name in LANGUAGES)
+    usable = f"({language} IN ({known}) AND octet_length({content}) > 0 AND is_valid_utf8({content}))"
+    # a text holding marker characters outside strings and comments is not code
+    legible = f"{S.is_balanced('_mask', language)} AND NOT {S.matches('_mask', f'[{S.ANY_MARKER}]')}"
+    out = df.selectExpr("*", f"IF({usable}, {S.mask_text(content, language)}, NULL) AS _mask")
+    out = out.selectExpr("*", f"coalesce({usable} AND (_mask IS NULL OR ({legible})), false) AS _fine")
 
-    kinds: list[str] = []
-    if options.remove_accessors:
-        out = out.withColumn("_f_acc", F.when(F.col("_ok"), S.accessor_facts("_mask", lang, False)))
-        out = out.withColumn("_f_ind", F.when(F.col("_ok"), S.accessor_facts("_mask", lang, True)))
-        out = out.withColumn("_s_acc", S.fold_accessors("_f_acc")).withColumn("_s_ind", S.fold_indented("_f_ind"))
-        kinds += ["acc", "ind"]
-    if options.remove_logging:
-        rules = {n: R.logging_pattern(n, options.logging_prefixes.get(n, ())) for n in R.RULES}
-        rules = {n: rule for n, rule in rules.items() if rule}
-        out = out.withColumn("_f_log", F.when(F.col("_ok"), S.statement_facts("_mask", text, lang, rules)))
-        out = out.withColumn("_s_log", S.fold_statements("_f_log"))
-        kinds.append("log")
-    if options.remove_imports:
-        rules = {n: rule.imports for n, rule in R.RULES.items() if rule.imports}
-        out = out.withColumn("_f_imp", F.when(F.col("_ok"), S.statement_facts("_mask", text, lang, rules)))
-        out = out.withColumn("_s_imp", S.fold_statements("_f_imp"))
-        kinds.append("imp")
-
-    fine = F.col("_ok")
-    for kind in kinds:
-        fine = fine & (F.col(f"_f_{kind}").isNull() | F.col(f"_s_{kind}").isNotNull())
-    out = out.withColumn("_fine", fine)
-    if kinds:
-        out = out.withColumn("_cut", F.when(F.col("_fine"), S.outermost([f"_s_{k}" for k in kinds])))
-        out = out.withColumn(
-            content, F.when(F.size("_cut") > 0, S.drop_spans(text, lang, F.col("_cut"))).otherwise(text)
-        )
+    statements: dict[str, list[str]] = {name: [] for name in R.RULES}
+    for name, rule in R.RULES.items():
+        logging = R.logging_pattern(name, options.logging_prefixes.get(name, ()))
+        if options.remove_logging and logging:
+            statements[name].append(logging)
+        if options.remove_imports and rule.imports:
+            statements[name].append(rule.imports)
+    rest = [c for c in df.columns if c != content]
+    if options.remove_accessors or any(statements.values()):
+        marked = S.mark_text("_mask", language, options.remove_accessors, statements)
+        out = out.selectExpr(*df.columns, "_fine", f"IF(_fine, {marked}, NULL) AS _marked")
+        wrapped = S.wrap_spans("_marked", language, options.remove_accessors, statements)
+        out = out.selectExpr(*df.columns, "_fine", f"IF({S.has_start('_marked')}, {wrapped}, NULL) AS _wrapped")
+        cut = f"IF({S.has_span('_wrapped')}, {S.drop_spans(content, language, '_wrapped')}, {content})"
+        out = out.selectExpr(*rest, "_fine", f"{cut} AS {content}")
 
     done = text
     if options.remove_imports:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.lexing import LEXICONS, comment_regex
+from sheaf.functions.lexing import KEPT, LEXICONS, comment_regex
 from sheaf.operators.settle import settle
 
 
@@ -22,7 +22,7 @@ def strip_comments(text: Column, language: Column, preserve_docs: bool = True) -
     out = None
     for name, lex in LEXICONS.items():
         present = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in lex.markers])
-        stripped = F.regexp_replace(text, comment_regex(name, preserve_docs), "$1")
+        stripped = F.regexp_replace(text, comment_regex(name, preserve_docs), KEPT)
         branch = F.when(present, stripped).otherwise(text)
         if preserve_docs and set(lex.comments) <= set(lex.docs):
             branch = text

@@ -1,296 +1,206 @@
 """Multi-line removals (logging calls, accessors, imports) inside one row.
 
 Every row carries its whole text, so a span never has to leave its row: there
-is no shuffle. The text is masked (strings become ``""``, comments vanish),
-split into lines, each line is reduced to a few facts, and a fold over the
-facts tracks bracket depth and yields the line spans to drop. All of it is
-built-in expressions.
+is no shuffle and no explode. The work is a short chain of regular expressions
+over whole texts:
+
+1. *mask*: strings are emptied and comments dropped, so brackets left are code;
+2. *mark*: a marker character goes in front of each line that opens something;
+3. *shrink*: all but brackets, line ends and markers becomes one character per run;
+4. *wrap*: each span is enclosed in two more markers, nested brackets matched;
+5. *cut*: lines inside a wrapped span are left out of the original text.
+
+Only texts with a marker go past step 2, only texts with a span past step 4.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Mapping, Sequence
-from functools import partial
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Mapping
 
 from sheaf.functions import rules as R
-from sheaf.functions.lexing import (
-    ANY,
-    DOUBLE_LINES,
-    LEXICONS,
-    logical_line_regex,
-    string_regex,
-    uncomment_regex,
-)
+from sheaf.functions.lexing import LEXICONS, MASKED, logical_line_regex, mask_regex
+
+# marker characters, from a private block of Unicode that code does not use
+(STATEMENT, LINE, PLAIN, RETURNS, ASSIGNS, ACCESSES, ATTACHED, LEAD, PROPERTY) = map(chr, range(0xE000, 0xE009))
+(HAS_RETURN, HAS_ACCESSOR, GOES_ON, OPEN, CLOSE, INSIDE) = map(chr, range(0xE009, 0xE00F))
+ANY_MARKER = "\ue000-\ue00e"
+STARTS = "\ue000-\ue006"
+
+# brackets nested deeper than this inside one span leave that span in place
+MAX_DEPTH = 64
+
+
+def quote(text: str) -> str:
+    """A SQL string literal; the dollar is spelled out because SQL text is searched for variables."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
-SPANS = "array<struct<s:int,e:int>>"
 
+def sub(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quote(pattern)}, {quote(by)})"
 
-def by_language(language: Column, branches: Mapping[str, Column]) -> Column | None:
+
+def matches(text: str, pattern: str) -> str:
+    return f"({text} RLIKE {quote(pattern)})"
+
+
+def by_language(language: str, branches: Mapping[str, str]) -> str:
     """``CASE language`` over the given branches; null for every other language."""
-    out = None
-    for name, value in branches.items():
-        out = F.when(language == name, value) if out is None else out.when(language == name, value)
-    return out
+    arms = " ".join(f"WHEN '{name}' THEN {value}" for name, value in branches.items())
+    return f"CASE {language} {arms} END"
 
 
-def mask_text(text: Column, language: Column) -> Column:
+def mask_text(text: str, language: str) -> str:
     """The text with comments gone and strings emptied, line structure of the code kept."""
+    # the logging rule of bash looks at the first word of a string
+    words = {"bash": "Debug"}
+    masked = {name: sub(text, mask_regex(name, words.get(name, "(?!)")), MASKED) for name in R.RULES}
+    return by_language(language, masked)
 
-    def one(name: str) -> Column:
-        lex = LEXICONS[name]
-        if not lex.strings:
-            return text
-        bare = F.regexp_replace(text, uncomment_regex(name), "$1")
-        if name == "bash":
-            # the logging rule looks at the first word of a string
-            kept = string_regex(name).replace(
-                DOUBLE_LINES, rf'"(?<first>Debug)?+[^"\\]*+(?:\\{ANY}[^"\\]*+)*+"'
-            )
-            return F.regexp_replace(bare, kept, '"${first}"')
-        return F.regexp_replace(bare, string_regex(name), '""')
 
-    return by_language(language, {name: one(name) for name in R.RULES})
+def is_balanced(masked: str, language: str) -> str:
+    """Whether every bracket of the masked text has a partner, by count."""
 
+    def count(char: str) -> str:
+        return f"length(replace({masked}, '{char}', ''))"
 
-def is_balanced(masked: Column, language: Column) -> Column:
-    """Whether every bracket of the masked text has a partner, by count."""
+    even = " AND ".join(f"{count(o)} = {count(c)}" for o, c in ("()", "[]", "{}"))
+    loose = ", ".join(quote(name) for name, lex in LEXICONS.items() if not lex.balanced)
+    return f"({language} IN ({loose}) OR ({even}))"
 
-    def count(char: str) -> Column:
-        return F.length(masked) - F.length(F.replace(masked, F.lit(char), F.lit("")))
-
-    even = (count("(") == count(")")) & (count("[") == count("]")) & (count("{") == count("}"))
-    loose = [name for name, lex in LEXICONS.items() if not lex.balanced]
-    return language.isin(loose) | even
-
-
-def _bracket_delta(line: Column) -> Column:
-    opened = F.length(line) - F.length(F.translate(line, "([{", ""))
-    closed = F.length(line) - F.length(F.translate(line, ")]}", ""))
-    return opened - closed
-
-
-def _depth_delta(line: Column, name: str) -> Column:
-    blocks = R.RULES[name].blocks
-    if name == "bash":
-        return F.lit(0)
-    if blocks == "keywords":
-        return (
-            _bracket_delta(line)
-            + F.regexp_count(line, F.lit(R.RUBY_OPENS))
-            - F.regexp_count(line, F.lit(R.RUBY_CLOSES))
-        )
-    return _bracket_delta(line)
-
-
-def _without_inner(line: Column) -> Column:
-    """The line without what its brackets enclose, for counting its statements."""
-    out = line
-    for _ in range(3):
-        out = F.regexp_replace(out, r"[(\[{][^()\[\]{}]*+[)\]}]", "")
-    return F.when(line.rlike(";.*;|;[^;]*[^; \t\r]"), out).otherwise(line)
-
-
-def _statement_facts(line: Column, name: str, start: str) -> Column:
-    """``fin``: 1 the statement may end here, 0 it goes on, 2 something else shares the line."""
-    if name == "bash":
-        fin = F.when(line.rlike(r"^(?:[^;|&]|>&)*$"), 1).otherwise(2)
-    elif R.RULES[name].semicolons:
-        fin = (
-            F.when(~F.contains(line, F.lit(";")) & ~line.rlike("^[ \t]*#"), 0)
-            .when(_without_inner(line).rlike(R.ONE_STATEMENT), 1)
-            .otherwise(2)
-        )
-    else:
-        fin = (
-            F.when(line.rlike(R.GOES_ON), 0).when(_without_inner(line).rlike(R.ONE_STATEMENT), 1).otherwise(2)
-        )
-    return F.struct(
-        F.when(line.rlike(start), 0).otherwise(-1).alias("st"),
-        F.lit(False).alias("att"),
-        F.lit(0).alias("n"),
-        _depth_delta(line, name).alias("d"),
-        fin.alias("fin"),
-        F.lit(False).alias("lead"),
-        F.lit(False).alias("blank"),
-    )
 
+def _bracketed(inner: str) -> str:
+    """A balanced bracket pair around what ``inner`` or further pairs match."""
+    pair = "(?!)"
+    for _ in range(MAX_DEPTH):
+        pair = rf"[(\[{{](?:{inner}|{pair})*+[)\]}}]"
+    return pair
 
-def _accessor_facts(line: Column, name: str) -> Column:
-    rule = R.RULES[name]
-    start, attached, bits = F.lit(-1), F.lit(False), F.lit(0)
-    for accessor in reversed(rule.accessors):
-        hit = line.rlike(accessor.header)
-        start = F.when(hit, accessor.needs).otherwise(start)
-        attached = F.when(hit, accessor.attached).otherwise(attached)
-    for bit in sorted({a.needs for a in rule.accessors} - {0}):
-        bits = bits + F.when(line.rlike(R.TOKEN_PATTERNS[bit]), bit).otherwise(0)
-    ends = line.rlike(r"[};][ \t\r;,)]*$")
-    if rule.expression_bodies:
-        ends = ~line.rlike(R.GOES_ON)
-    return F.struct(
-        start.alias("st"),
-        attached.alias("att"),
-        bits.alias("n"),
-        _depth_delta(line, name).alias("d"),
-        F.when(ends, 1).otherwise(0).alias("fin"),
-        (line.rlike(rule.lead) if rule.lead else F.lit(False)).alias("lead"),
-        line.rlike(r"^[ \t\r]*$").alias("blank"),
-    )
 
+PAIR = _bracketed(r"[^()\[\]{}]++")
+CURLY_PAIR = rf"\{{(?:[^()\[\]{{}}]++|{PAIR})*+\}}"
+ROUND_PAIR = rf"[(\[](?:[^()\[\]{{}}]++|{PAIR})*+[)\]]"
+END = r"(?=\n|\z)"
 
-def _fold_brackets(facts: str, chained: bool) -> str:
-    """SQL of the fold over line facts. ``open`` is the first line of an open span, 0 for none."""
-    after_close = "o.i + 1" if chained else "0"
-    return f"""
-    aggregate({facts},
-      named_struct('i', 0, 'depth', 0, 'base', 0, 'open', 0, 'lead', 0, 'needs', 0, 'seen', 0,
-                   'spans', cast(array() as {SPANS})),
-      (a, f) -> CASE
-        WHEN a.open = 0 AND (f.st < 0 OR (f.att AND a.lead = 0)) THEN
-          named_struct('i', a.i + 1, 'depth', a.depth + f.d, 'base', 0, 'open', 0,
-            'lead', CASE WHEN f.blank AND a.lead = a.i + 1 THEN a.i + 2
-                         WHEN f.blank THEN a.lead
-                         WHEN f.lead THEN IF(a.lead = 0, a.i + 1, a.lead)
-                         ELSE 0 END,
-            'needs', 0, 'seen', 0, 'spans', a.spans)
-        ELSE transform(array(named_struct('i', a.i + 1, 'depth', a.depth + f.d,
-            'base', IF(a.open = 0, a.depth, a.base),
-            'open', CASE WHEN a.open > 0 THEN a.open WHEN a.lead > 0 THEN a.lead ELSE a.i + 1 END,
-            'lead', 0,
-            'needs', IF(a.open = 0, f.st, a.needs),
-            'seen', IF(a.open = 0, f.n, a.seen | f.n),
-            'spans', a.spans)),
-          o -> CASE
-            WHEN o.depth > o.base OR (o.depth = o.base AND f.fin = 0) THEN o
-            ELSE named_struct('i', o.i, 'depth', o.depth, 'base', 0, 'open', 0,
-              'lead', {after_close}, 'needs', 0, 'seen', 0,
-              'spans', IF(o.depth = o.base AND f.fin = 1 AND (o.seen & o.needs) = o.needs,
-                          array_append(o.spans, named_struct('s', o.open, 'e', o.i)), o.spans))
-            END)[0]
-      END,
-      a -> IF(a.open = 0, a.spans, NULL))"""
-
-
-def _indent_facts(line: Column, name: str) -> Column:
-    rule = R.RULES[name]
-    return F.struct(
-        line.rlike(rule.accessors[0].header).alias("named"),
-        line.rlike(r"^[ \t]*(?:async[ \t]+)?def\b").alias("def"),
-        line.rlike(rule.lead).alias("deco"),
-        line.rlike(r"^[ \t]*@property\b").alias("prop"),
-        line.rlike(r"^[ \t\r]*$").alias("blank"),
-        F.length(F.regexp_extract(line, "^[ \t]*+", 0)).alias("ind"),
-        _bracket_delta(line).alias("d"),
+# bodies over shrunken text: up to a closing brace or semicolon at a line end, or to the end of the line
+BLOCK_BODY = (
+    rf"(?:[^()\[\]{{}};]++|{ROUND_PAIR}|{CURLY_PAIR}(?![;,]*+(?:\n|\z))|;(?!\n|\z))*+(?:{CURLY_PAIR}[;,]*+|;){END}"
+)
+LINE_BODY = rf"(?:[^()\[\]{{}}\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+{END}"
+LEADS = rf"(?:{LEAD}[^\n]*+\n++)*+"
+SEMICOLON_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};]++|{PAIR})*+;{END}"
+LINE_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+;?+{END}"
+
+NEEDS = {None: PLAIN, R.RETURN: RETURNS, R.ASSIGN: ASSIGNS, R.ACCESSOR: ACCESSES}
+ACCESSOR_WORD = rf"(?:^[{ANY_MARKER}]*|[{{;}}])[ \t]*(?:[a-z]+[ \t]+)?(?:get|set|init)\b"
+
+
+def _indented_accessors() -> str:
+    """Python accessors on masked text: decorators, header, and every deeper line below."""
+    line = rf"(?:[^()\[\]{{}}\n]++|{PAIR})*+"
+    decorator = rf"@{line}\n(?:[ \t\r]*+\n)*+\k<ind>"
+    header = (
+        rf"(?:(?=(?:{decorator})*?@property\b)(?:{decorator})++(?:async[ \t]+)?def\b"
+        rf"|(?:{decorator})*+(?:async[ \t]+)?def[ \t]+[gs]et_)"
     )
+    deeper = rf"\n(?:[ \t\r]*+\n)*+\k<ind>[ \t]++(?=[^ \t\r\n]){line}"
+    return rf"(?dm)^(?<ind>[ \t]*+){header}{line}(?:{deeper})*+"
 
 
-def _fold_indent(facts: str) -> str:
-    """The fold for indented blocks: a span ends before the next line that is not deeper."""
-    return f"""
-    aggregate({facts},
-      named_struct('i', 0, 'depth', 0, 'open', 0, 'ind', 0, 'last', 0, 'lead', 0, 'prop', false,
-                   'spans', cast(array() as {SPANS})),
-      (b, f) -> transform(array(
-          IF(b.open > 0 AND b.depth = 0 AND NOT f.blank AND f.ind <= b.ind,
-             named_struct('i', b.i, 'depth', b.depth, 'open', 0, 'ind', 0, 'last', 0, 'lead', 0, 'prop', false,
-                          'spans', array_append(b.spans, named_struct('s', b.open, 'e', b.last))),
-             b)),
-        a -> CASE
-          WHEN a.open > 0 THEN
-            named_struct('i', a.i + 1, 'depth', a.depth + f.d, 'open', a.open, 'ind', a.ind,
-              'last', IF(f.blank, a.last, a.i + 1), 'lead', 0, 'prop', false, 'spans', a.spans)
-          WHEN a.depth = 0 AND f.def AND (f.named OR a.prop) THEN
-            named_struct('i', a.i + 1, 'depth', a.depth + f.d, 'open', IF(a.lead > 0, a.lead, a.i + 1),
-              'ind', f.ind, 'last', a.i + 1, 'lead', 0, 'prop', false, 'spans', a.spans)
-          WHEN a.depth = 0 AND f.deco THEN
-            named_struct('i', a.i + 1, 'depth', a.depth + f.d, 'open', 0, 'ind', 0, 'last', 0,
-              'lead', IF(a.lead > 0, a.lead, a.i + 1), 'prop', a.prop OR f.prop, 'spans', a.spans)
-          ELSE
-            named_struct('i', a.i + 1, 'depth', a.depth + f.d, 'open', 0, 'ind', 0, 'last', 0,
-              'lead', IF(f.blank OR a.depth > 0, a.lead, 0),
-              'prop', (f.blank OR a.depth > 0) AND a.prop, 'spans', a.spans)
-        END)[0],
-      a -> IF(a.open > 0, array_append(a.spans, named_struct('s', a.open, 'e', a.last)), a.spans))"""
-
-
-def _anywhere(pattern: str) -> str:
-    """A superset of a line rule that is cheap to test on the whole unmasked text."""
-    loose = pattern.replace(R.LINE_START, "").replace("(?i:^[ \\t]*", "(?i:").replace("^[ \\t]*", "")
-    return "(?m)" + re.sub(r"\[ \\t\\r\]\*\$", "", loose)
-
-
-def _per_line(masked: str, fact: Callable[[Column], Column]) -> Column:
-    return F.transform(F.split(F.col(masked), "\n"), lambda line: fact(line))
-
-
-def statement_facts(masked: str, text: Column, language: Column, rule_of: Mapping[str, str]) -> Column:
-    """Line facts for statements that start with a rule. ``masked`` names a column."""
-    branches = {}
-    for name, start in rule_of.items():
-        facts = _per_line(masked, partial(_statement_facts, name=name, start=start))
-        branches[name] = F.when(text.rlike(_anywhere(start)), facts)
-    return by_language(language, branches)
+def _mark(text: str, marker: str, patterns: list[str]) -> str:
+    """Put ``marker`` in front of every line one of the patterns opens."""
+    return sub(text, f"(?dm)^(?=(?:{'|'.join(patterns)}))", marker) if patterns else text
 
 
-def accessor_facts(masked: str, language: Column, indented: bool) -> Column:
-    """Facts for getters and setters; ``indented`` picks the languages without brackets."""
-    fact = _indent_facts if indented else _accessor_facts
+def mark_text(masked: str, language: str, accessors: bool, statements: Mapping[str, list[str]]) -> str:
+    """Masked text with markers. ``statements`` gives the patterns of whole statements per language."""
     branches = {}
     for name, rule in R.RULES.items():
-        if not rule.accessors or (rule.blocks == "indent") != indented:
-            continue
-        hint = F.col(masked).rlike("(?i:get|set|is|property|attr_)")
-        facts = _per_line(masked, partial(fact, name=name))
-        branches[name] = F.when(hint, facts)
+        text = masked
+        if accessors and rule.accessors:
+            if rule.blocks == "indent":
+                text = sub(text, _indented_accessors(), f"{OPEN}$0{CLOSE}")
+            else:
+                for need in dict.fromkeys(a.needs for a in rule.accessors):
+                    headers = [a.header for a in rule.accessors if a.needs == need and not a.attached]
+                    text = _mark(text, NEEDS[need], headers)
+                text = _mark(text, ATTACHED, [a.header for a in rule.accessors if a.attached])
+                text = _mark(text, PROPERTY, [rule.property] if rule.property else [])
+                text = _mark(text, LEAD, [rule.lead] if rule.lead else [])
+        starts = statements.get(name, [])
+        whole = [p for p in starts if rule.blocks == "lines" or "#[" in p]
+        text = _mark(text, LINE, whole)
+        text = _mark(text, STATEMENT, [p for p in starts if p not in whole])
+        if text != masked:
+            branches[name] = text
     return by_language(language, branches)
 
 
-def fold_statements(facts: str) -> Column:
-    return F.expr(_fold_brackets(facts, chained=False))
-
-
-def fold_accessors(facts: str) -> Column:
-    return F.expr(_fold_brackets(facts, chained=True))
+def has_start(marked: str) -> str:
+    return matches(marked, f"[{STARTS}{OPEN}]")
 
 
-def fold_indented(facts: str) -> Column:
-    return F.expr(_fold_indent(facts))
+def _shrink(text: str, name: str, accessors: bool) -> str:
+    """Brackets, line ends, semicolons and markers; one character for each run of other code."""
+    rule = R.RULES[name]
+    needs = {a.needs for a in rule.accessors} if accessors else set()
+    if R.RETURN in needs:
+        text = sub(text, r"\breturn\b", HAS_RETURN)
+    if R.ACCESSOR in needs:
+        text = sub(text, f"(?dm){ACCESSOR_WORD}", f"$0{HAS_ACCESSOR}")
+    if rule.blocks == "keywords":
+        opens = R.RUBY_OPENS.replace("^", f"^[{ANY_MARKER}]*")
+        text = sub(sub(text, f"(?dm){opens}", "$0{"), R.RUBY_CLOSES, "}")
+    if not rule.semicolons or rule.expression_bodies:
+        text = sub(text, f"(?d){R.GOES_ON}", f"$0{GOES_ON}")
+    equals = "=" if R.ASSIGN in needs else ""
+    code = rf"[^\n()\[\]{{}};{equals}{ANY_MARKER} \t\r]"
+    return sub(text, rf"[ \t\r]++|({code}){code}*+", "$1")
+
+
+def _wrap(text: str, name: str, accessors: bool, statements: bool) -> str:
+    rule = R.RULES[name]
+    if accessors and rule.accessors and rule.blocks != "indent":
+        body = LINE_BODY if rule.expression_bodies else BLOCK_BODY
+        kinds = "".join(NEEDS[need] for need in dict.fromkeys(a.needs for a in rule.accessors))
+        span = rf"{LEADS}[{kinds}]{body}"
+        if rule.property:
+            span += rf"|{LEADS}{PROPERTY}[^\n]*+\n++{ATTACHED}{body}(?:\n++{ATTACHED}{body})*+"
+        text = sub(text, span, f"{OPEN}$0{CLOSE}")
+        for need, token in ((R.RETURN, HAS_RETURN), (R.ASSIGN, "="), (R.ACCESSOR, HAS_ACCESSOR)):
+            if any(a.needs == need for a in rule.accessors):
+                text = sub(text, rf"{OPEN}({LEADS}{NEEDS[need]}[^{token}{CLOSE}]*+){CLOSE}", "$1")
+    if statements:
+        span = rf"{SEMICOLON_STATEMENT if rule.semicolons else LINE_STATEMENT}|{LINE}[^\n]*+"
+        text = sub(text, rf"({OPEN}[^{CLOSE}]*+{CLOSE})|({span})", f"$1{OPEN}$2{CLOSE}")
+        text = f"replace({text}, '{OPEN}{CLOSE}', '')"
+    return text
+
+
+def wrap_spans(marked: str, language: str, accessors: bool, statements: Mapping[str, list[str]]) -> str:
+    """Shrunken text in which every line of a span carries a marker.
+
+    The first line of a span holds ``OPEN``, the following ones start with ``INSIDE``.
+    """
+    branches = {}
+    for name in R.RULES:
+        wrapped = _wrap(_shrink(marked, name, accessors), name, accessors, bool(statements.get(name)))
+        branches[name] = sub(wrapped, rf"(?:{OPEN}|(?!\A)\G)[^\n{CLOSE}]*+\n", f"$0{INSIDE}")
+    return by_language(language, branches)
 
 
-def outermost(spans: Sequence[str]) -> Column:
-    """Union of span columns in line order; what starts inside a kept span is dropped."""
-    merged = ", ".join(f"coalesce({name}, cast(array() as {SPANS}))" for name in spans)
-    ordered = f"array_sort(concat({merged}), (x, y) -> IF(x.s = y.s, y.e - x.e, x.s - y.s))"
-    return F.expr(
-        f"""aggregate({ordered}, cast(array() as {SPANS}),
-        (kept, x) -> IF(size(kept) > 0 AND x.s <= kept[size(kept) - 1].e, kept, array_append(kept, x)))"""
-    )
+def has_span(wrapped: str) -> str:
+    return f"(instr({wrapped}, '{OPEN}') > 0)"
 
 
-def drop_spans(text: Column, language: Column, spans: Column) -> Column:
+def drop_spans(text: str, language: str, wrapped: str) -> str:
     """The text without the spans; each leaves the line end it had."""
     lines = by_language(
-        language,
-        {name: F.regexp_extract_all(text, F.lit(logical_line_regex(name)), F.lit(0)) for name in R.RULES},
+        language, {name: f"regexp_extract_all({text}, {quote(logical_line_regex(name))}, 0)" for name in R.RULES}
     )
-
-    def rebuild(pair: Column) -> Column:
-        rows, cuts = pair["lines"], pair["spans"]
-        after = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda s: s["e"]))
-        before = F.concat(F.transform(cuts, lambda s: s["s"]), F.array(F.size(rows) + 1))
-        kept = F.zip_with(
-            after,
-            before,
-            lambda a, b: F.array_join(F.slice(rows, a + 1, F.greatest(b - a - 1, F.lit(0))), ""),
-        )
-        whole = F.array_join(kept, "\n")
-        to_the_end = F.element_at(cuts, -1)["e"] >= F.size(rows)
-        unended = to_the_end & ~F.endswith(text, F.lit("\n"))
-        return F.when(unended, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
-
-    pair = F.array(F.struct(lines.alias("lines"), spans.alias("spans")))
-    return F.element_at(F.transform(pair, rebuild), 1)
+    return f"""
+    array_join(zip_with({lines}, split({wrapped}, '\\n', -1), (line, flag) -> CASE
+        WHEN flag IS NULL THEN line
+        WHEN startswith(flag, '{INSIDE}') THEN ''
+        WHEN instr(flag, '{OPEN}') = 0 THEN line
+        WHEN instr(flag, '{CLOSE}') > 0 THEN IF(endswith(line, '\\n'), '\\n', '')
+        ELSE '\\n' END), '')"""
