@@ -128,7 +128,9 @@ def _segment_regex(segment: str) -> str:
 
 def glob_regex(pattern: str) -> str:
     """Regular expression of one brace-free glob; ``**`` as a whole segment spans folders."""
-    parts = pattern.split("/")
+    whole = pattern.split("/")
+    # repeated ** segments mean one
+    parts = [p for i, p in enumerate(whole) if p != "**" or i == 0 or whole[i - 1] != "**"]
     out = ""
     for i, part in enumerate(parts):
         last = i == len(parts) - 1

@@ -61,12 +61,13 @@ _CS_NOT_TYPE = (
 )
 _CS_HEAD = rf"{LINE_START}(?:(?:{_CS_WORDS})[ \t]++)*+{_CS_NOT_TYPE}"
 _CS_TYPE = r"\w[\w.]*+(?:<[^{}()=;\n]*>)?+[\[\],?]*+[ \t]++"
-_SWIFT_HEAD = rf"{LINE_START}(?:@?\w++(?:\([^)\n]*+\))?+[ \t]++)*?"
+_SWIFT_HEAD = rf"{LINE_START}(?:@?\w++(?:\([^)\n]*+\))?+[ \t]++){{0,16}}?"
 _KT_WORDS = (
     "private|protected|internal|public|open|override|abstract|final|inline|lateinit|const|suspend|operator|external"
 )
 _KT_HEAD = rf"{LINE_START}(?:(?:{_KT_WORDS}|@\w[\w.]*+(?:\([^)\n]*+\))?+)[ \t]++)*+"
-_OWNER = r"(?:\w++\.)*"
+# receivers in front of a call; bounded, because an unbounded group overflows the stack on long chains
+_OWNER = r"(?:\w++\.){0,16}"
 
 _JS = Rules(
     logging=rf"{LINE_START}(?:console|logger)\.\w",
@@ -76,7 +77,7 @@ _JS = Rules(
 
 RULES: dict[str, Rules] = {
     "go": Rules(
-        logging=rf"{LINE_START}(?:{_OWNER}(?:log|logger)\.\w|{_OWNER}Debug\(|(?:\w+\.)+Print\w*\()",
+        logging=rf"{LINE_START}(?:{_OWNER}(?:log|logger)\.\w|{_OWNER}Debug\(|{_OWNER}\w++\.Print\w*+\()",
         imports=rf"{LINE_START}import[ \t(\"]",
         accessors=(Accessor(r"^func[ \t]+(?i:get|set)\w*[ \t]*[(\[]"),),
     ),

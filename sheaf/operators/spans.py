@@ -28,6 +28,8 @@ STARTS = "\ue000-\ue006"
 
 # brackets nested deeper than this inside one span leave that span in place
 MAX_DEPTH = 64
+# of the lines directly above an accessor at most this many go with it
+MAX_LEADS = 64
 
 
 def quote(text: str) -> str:
@@ -81,13 +83,14 @@ CURLY_PAIR = rf"\{{(?:[^()\[\]{{}}]++|{PAIR})*+\}}"
 ROUND_PAIR = rf"[(\[](?:[^()\[\]{{}}]++|{PAIR})*+[)\]]"
 END = r"(?=\n|\z)"
 
-# bodies over shrunken text: up to a closing brace or semicolon at a line end, or to the end of the line
+# bodies over shrunken text: up to a closing brace or semicolon at a line end, or to the end of the line;
+# none runs into the next start at its own depth, so a text full of unfinished starts is read once
 BLOCK_BODY = (
-    rf"(?:[^()\[\]{{}};]++|{ROUND_PAIR}|{CURLY_PAIR}(?![;,]*+(?:\n|\z))|;(?!\n|\z))*+(?:{CURLY_PAIR}[;,]*+|;){END}"
+    rf"(?:[^()\[\]{{}};{STARTS}]++|{ROUND_PAIR}|{CURLY_PAIR}(?![;,]*+(?:\n|\z))|;(?!\n|\z))*+(?:{CURLY_PAIR}[;,]*+|;){END}"
 )
 LINE_BODY = rf"(?:[^()\[\]{{}}\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+{END}"
-LEADS = rf"(?:{LEAD}[^\n]*+\n++)*+"
-SEMICOLON_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};]++|{PAIR})*+;{END}"
+LEADS = rf"(?:{LEAD}[^\n]*+\n++){{0,{MAX_LEADS}}}+"
+SEMICOLON_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};{STARTS}]++|{PAIR})*+;{END}"
 LINE_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+;?+{END}"
 
 NEEDS = {None: PLAIN, R.RETURN: RETURNS, R.ASSIGN: ASSIGNS, R.ACCESSOR: ACCESSES}
@@ -99,8 +102,8 @@ def _indented_accessors() -> str:
     line = rf"(?:[^()\[\]{{}}\n]++|{PAIR})*+"
     decorator = rf"@{line}\n(?:[ \t\r]*+\n)*+\k<ind>"
     header = (
-        rf"(?:(?=(?:{decorator})*?@property\b)(?:{decorator})++(?:async[ \t]+)?def\b"
-        rf"|(?:{decorator})*+(?:async[ \t]+)?def[ \t]+[gs]et_)"
+        rf"(?:(?=(?:{decorator}){{0,{MAX_LEADS}}}?@property\b)(?:{decorator}){{1,{MAX_LEADS}}}+(?:async[ \t]+)?def\b"
+        rf"|(?:{decorator}){{0,{MAX_LEADS}}}+(?:async[ \t]+)?def[ \t]+[gs]et_)"
     )
     deeper = rf"\n(?:[ \t\r]*+\n)*+\k<ind>[ \t]++(?=[^ \t\r\n]){line}"
     return rf"(?dm)^(?<ind>[ \t]*+){header}{line}(?:{deeper})*+"
@@ -200,7 +203,6 @@ def drop_spans(text: str, language: str, wrapped: str) -> str:
     return f"""
     array_join(zip_with({lines}, split({wrapped}, '\\n', -1), (line, flag) -> CASE
         WHEN flag IS NULL THEN line
-        WHEN startswith(flag, '{INSIDE}') THEN ''
-        WHEN instr(flag, '{OPEN}') = 0 THEN line
         WHEN instr(flag, '{CLOSE}') > 0 THEN IF(endswith(line, '\\n'), '\\n', '')
-        ELSE '\\n' END), '')"""
+        WHEN startswith(flag, '{INSIDE}') OR instr(flag, '{OPEN}') > 0 THEN ''
+        ELSE line END), '')"""

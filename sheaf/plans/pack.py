@@ -25,8 +25,12 @@ def candidates(corpus: DataFrame, options: PackOptions) -> DataFrame:
 
 
 def dry_run(corpus: DataFrame, options: PackOptions) -> DataFrame:
-    """The manifest only: what would be packed. No content is read from a file scan."""
-    return manifest(candidates(corpus, options), parse_size(options.max_file_size))
+    """The manifest only: what would be packed. No content is read from a file scan.
+
+    The content goes before duplicates are dropped: inside the row that
+    operator keeps, no later pruning would reach it.
+    """
+    return manifest(candidates(corpus.drop("content"), options), parse_size(options.max_file_size))
 
 
 def prepare(corpus: DataFrame, options: PackOptions) -> DataFrame:
@@ -47,10 +51,9 @@ def pack(corpus: DataFrame, options: PackOptions) -> DataFrame:
     corpus is written once to the checkpoint folder because both the size check
     and the rendering read it.
     """
-    picked = candidates(corpus, options)
     if options.enforce_budget:
-        require_budget(manifest(picked, parse_size(options.max_file_size)), parse_size(options.max_output_size))
-    rows = prepare(picked, options)
+        require_budget(dry_run(corpus, options), parse_size(options.max_output_size))
+    rows = prepare(candidates(corpus, options), options)
     if options.clean is not None:
         rows = materialize(rows)
     outputs = output_paths(options.roots, options.work_dir, options.output_path)

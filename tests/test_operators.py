@@ -1,0 +1,256 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks import registry
+from conftest import SMALL
+from sheaf import PackOptions, pack
+from sheaf.operators import assign, bundles, dedup, manifest, numbering
+from sheaf.options import CleanOptions, output_format
+from sheaf.plans.pack import dry_run
+from sheaf.sources.files import scan_files
+from sheaf.sources.tables import CORPUS_COLUMNS, to_corpus
+from sheaf.streaming.stream import pack_stream, stream_files
+
+
+def plan(df, capsys=None):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def corpus(spark, rows):
+    df = spark.createDataFrame(rows, "path string, content string")
+    return to_corpus(df, F.col("path"), F.col("content"))
+
+
+def test_output_names():
+    assert assign.output_paths(["/p/a/", "b"], "/w") == ["/w/a.xml", "/w/b.xml"]
+    assert assign.output_paths(["."], "/x/w") == ["/x/w/w.xml"]
+    assert assign.output_paths(["a", "b"], "/w", "out.json") == ["/w/out.json"]
+    assert assign.output_paths(["a"], "/w", "/abs/out.yml") == ["/abs/out.yml"]
+    assert assign.unmatched_output(["a/x.json"]) == "a/x_unmatched.json"
+    assert [output_format(p) for p in (None, "a.XML", "a.yml", "a.json")] == ["xml", "xml", "yaml", "json"]
+    with pytest.raises(ValueError):
+        output_format("a.txt")
+    with pytest.raises(ValueError):
+        PackOptions(include="")
+
+
+@pytest.mark.parametrize("literal", [2000, 0])
+def test_assignment(spark, monkeypatch, literal):
+    monkeypatch.setattr(assign, "MAX_LITERAL", literal)
+    outputs = ["dir1/subdir.xml", "dir2.xml", "dir1/other.xml"]
+    rows = ["dir1/subdir/file.txt", "dir2/file.txt", "dir3/file.txt", "/dir1/x", "dir1/other.go", "dir1/./a/../other/y"]
+    df = spark.createDataFrame([(r,) for r in rows], "path string")
+    got = {r.path: r.output for r in assign.assign_outputs(df, outputs).collect()}
+    # ties go to the earlier output
+    assert got == {
+        "dir1/subdir/file.txt": "dir1/subdir.xml",
+        "dir2/file.txt": "dir2.xml",
+        "dir3/file.txt": "dir1/subdir_unmatched.xml",
+        "/dir1/x": "dir1/subdir.xml",
+        "dir1/other.go": "dir1/other.xml",
+        "dir1/./a/../other/y": "dir1/other.xml",
+    }
+    only = assign.assign_outputs(df, ["z.xml"])
+    assert only.where("output = 'z.xml'").count() == len(rows)
+
+
+def test_numbering_spreads_a_large_output(spark):
+    keys = spark.range(20000).select(
+        F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"),
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("o"), (F.col("id") % 50).cast("string"))).alias("output"),
+    )
+    out = numbering.number_documents(keys, partitions=8)
+    wrong = out.groupBy("output").agg(
+        F.count("*").alias("n"), F.min("index").alias("lo"), F.max("index").alias("hi"), F.count_distinct("index").alias("d")
+    )
+    assert wrong.where("lo <> 1 or hi <> n or d <> n").count() == 0
+    hot = out.where("output = 'hot'").orderBy("index").select("path").collect()
+    assert [r.path for r in hot] == sorted(r.path for r in hot)
+
+
+def test_dedup_uses_partial_aggregates(spark):
+    df = corpus(spark, [("b", "x"), ("a", "x"), ("c", "y"), ("c", "y")])
+    out = dedup.distinct_identity(df, dedup.content_identity())
+    assert sorted(r.path for r in out.collect()) == ["a", "c"]
+    assert dedup.distinct_paths(df).count() == 3
+    text = plan(out)
+    assert "partial_min" in text and "Window" not in text
+    linked = df.distinct().withColumn("link", F.col("path") == "a")
+    out = dedup.distinct_identity(linked, F.when(F.col("path") != "c", "same"), F.col("link"))
+    assert sorted(r.path for r in out.collect()) == ["b", "c"]
+
+
+def test_manifest_and_budget(spark):
+    df = corpus(spark, [("a", "x" * 100), ("b", "x" * 1024), ("c", "x" * 2048), ("d", "x" * 100)])
+    for limit, taken in ((3000, 4), (1500, 3), (500, 2), (100, 2), (99, 0)):
+        listing = manifest.manifest(df, limit)
+        assert listing.where("status = 'INCLUDED'").count() == taken
+        assert listing.count() == 4
+    row = manifest.budget(manifest.manifest(df, 1500), 1000).first()
+    assert (row.included, row.ignored, row.total_size) == (3, 1, 1224)
+    assert row.problem == "total size of valid files (1.2 KB) exceeds maximum output size (1000 B)"
+    with pytest.raises(ValueError, match="no valid files"):
+        manifest.require_budget(manifest.manifest(df, 10), 1000)
+    with pytest.raises(ValueError, match="exceeds maximum output size"):
+        manifest.require_budget(manifest.manifest(df, 3000), 1000)
+    failing = df.withColumn("error", F.when(F.col("path") > "b", F.concat(F.lit("bad "), F.col("path"))))
+    assert tuple(manifest.first_error(failing).first()) == (2, "c", "bad c")
+
+
+def test_manifest_of_files_reads_no_content(spark, tmp_path):
+    (tmp_path / "a.go").write_text("package a\n")
+    (tmp_path / "b.txt").write_text("no\n")
+    out = dry_run(scan_files(spark, [str(tmp_path)]), PackOptions(roots=(str(tmp_path),)))
+    assert [r.path for r in out.collect()] == [f"{tmp_path}/a.go"]
+    schema = [line for line in plan(out).splitlines() if "ReadSchema" in line or "FileScan" in line]
+    assert schema and not any("content" in line for line in schema)
+    sized = scan_files(spark, [str(tmp_path)]).where("raw_size <= 5")
+    assert "LessThanOrEqual(length,5)" in plan(sized)
+
+
+DOCS = [("a/1.go", "x < 1 && \"y\" > 'z'\n"), ("a/2.go", "tab\t\\   \x01\x0b é \U0001f600\r\n"), ("b/<3>.go", "")]
+
+
+def rendered(spark, fmt, limit=1 << 30):
+    df = corpus(spark, DOCS).withColumn("output", F.substring_index("path", "/", 1))
+    return {r.output: r for r in bundles.render_bundles(df, fmt, limit).collect()}
+
+
+@pytest.mark.parametrize("fmt", ["xml", "json", "yaml"])
+def test_sizes_are_exact(spark, fmt):
+    for row in rendered(spark, fmt).values():
+        assert row.rendered_size == len(row.bundle.encode())
+    many = spark.range(1234).select(F.lit("o").alias("output"), F.col("id").cast("string").alias("path"), F.lit("c").alias("content"))
+    row = bundles.render_bundles(many, fmt, 1 << 30).first()
+    assert row.documents == 1234 and row.rendered_size == len(row.bundle)
+
+
+def test_xml(spark):
+    got = rendered(spark, "xml")
+    assert got["b"].bundle == (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<documents>\n<document index="1">\n<source>b/&lt;3&gt;.go</source>\n'
+        "<document_content></document_content>\n</document>\n</documents>"
+    )
+    assert "x &lt; 1 &amp;&amp; &quot;y&quot; &gt; &apos;z&apos;\n</document_content>" in got["a"].bundle
+
+
+def test_json(spark):
+    got = rendered(spark, "json")
+    parsed = json.loads(got["a"].bundle)
+    assert parsed == {
+        "documents": [{"index": i + 1, "source": p, "document_content": c} for i, (p, c) in enumerate(DOCS[:2])]
+    }
+    assert "\\u003c 1 \\u0026\\u0026" in got["a"].bundle and "\\u2028 \\u0001\\u000b" in got["a"].bundle
+    assert got["b"].bundle.startswith('{\n  "documents": [\n    {\n      "index": 1,\n      "source": "b/\\u003c3\\u003e.go",\n')
+    assert got["b"].bundle.endswith('      "document_content": ""\n    }\n  ]\n}\n')
+
+
+def test_yaml(spark):
+    text = rendered(spark, "yaml")["a"].bundle
+    lines = text.splitlines()
+    assert lines[0] == "documents:" and lines[1] == "  - index: 1" and lines[2] == '    source: "a/1.go"'
+    # a double-quoted scalar without exotic characters is a JSON string
+    values = [json.loads(line.split(": ", 1)[1]) for line in lines if "document_content" in line]
+    assert values == [c for _, c in DOCS[:2]]
+
+
+@pytest.mark.parametrize("fmt", ["xml", "json", "yaml"])
+def test_limit_is_exact_and_refused_outputs_gather_nothing(spark, fmt):
+    whole = rendered(spark, fmt)
+    size = whole["a"].rendered_size
+    assert rendered(spark, fmt, size)["a"].error is None
+    over = rendered(spark, fmt, size - 1)["a"]
+    assert over.bundle is None
+    assert over.error == f"output size ({size} bytes) exceeds maximum allowed size ({size - 1} bytes)"
+    assert rendered(spark, fmt, size - 1)["b"].bundle == whole["b"].bundle
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_refused_outputs_with_and_without_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(bundles, "HOT_OUTPUTS", hot)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 30).cast("string")).alias("output"),
+        F.col("id").cast("string").alias("path"),
+        F.lit("text").alias("content"),
+    )
+    got = bundles.render_bundles(df, "xml", 50_000).collect()
+    assert {r.output for r in got if r.error} == {"hot"}
+    assert sum(r.bundle.count("<document ") for r in got if r.bundle) == 1000
+
+
+def test_empty_outputs(spark):
+    none = corpus(spark, []).withColumn("output", F.lit("o"))
+    wanted = spark.createDataFrame([("o",)], "output string")
+    empty = {f: bundles.render_bundles(none, f, 100, outputs=wanted).first().bundle for f in ("xml", "json", "yaml")}
+    assert empty["xml"] == '<?xml version="1.0" encoding="UTF-8"?>\n<documents>\n</documents>'
+    assert json.loads(empty["json"]) == {"documents": []}
+    assert empty["yaml"] == "documents: []\n"
+
+
+FILES = {
+    "one/a.go": "package a\n// c\nfunc main() {\n\tlog.Print(1)\n}\n",
+    "one/b.json": "{}\n",
+    "one/skip.txt": "no\n",
+    "two/c.go": "package c\n",
+    "two/big.go": "x" * 3000,
+}
+
+
+def tree(folder):
+    for name, text in FILES.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_pack_directories(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    options = PackOptions(
+        roots=(f"{root}/one", f"{root}/two"), work_dir=root, max_file_size="2KB", clean=CleanOptions()
+    )
+    # overlapping roots reach the same files
+    files = scan_files(spark, [root]).unionAll(scan_files(spark, [f"{root}/one"]))
+    got = {r.output: r for r in pack(files, options).collect()}
+    assert set(got) == {f"{root}/one.xml", f"{root}/two.xml"}
+    one = got[f"{root}/one.xml"]
+    assert one.documents == 2
+    assert "<source>src/one/a.go</source>\n<document_content>package a\nfunc main() {\n}\n</document_content>" in one.bundle
+    assert got[f"{root}/two.xml"].documents == 1
+    with pytest.raises(ValueError, match="exceeds maximum output size"):
+        pack(files, PackOptions(roots=(root,), max_output_size="20B"))
+
+
+def test_write_bundles(spark, tmp_path):
+    df = corpus(spark, DOCS).withColumn("output", F.substring_index("path", "/", 1))
+    out = bundles.render_bundles(df, "json", 1 << 30)
+    bundles.write_bundles(out, str(tmp_path / "out"))
+    for row in out.collect():
+        [part] = (tmp_path / "out" / f"output={row.output}").glob("part-*")
+        assert part.read_bytes().decode() == row.bundle
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    options = PackOptions(roots=(root,), work_dir=root, max_file_size="2KB", output_path="all.json", clean=CleanOptions())
+    query = pack_stream(stream_files(spark, root), options, str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination(120)
+    assert query.exception() is None
+    written = spark.read.text(str(tmp_path / "out"), wholetext=True).collect()
+    batch = pack(scan_files(spark, [root]), options).collect()
+    assert [r.value for r in written] == [r.bundle for r in batch]
+
+
+def test_corpus_schema(spark):
+    assert registry.documents(spark, SMALL, keep=()).columns == CORPUS_COLUMNS
+
+
+def test_every_query_has_a_plan_without_python_or_cross_joins(spark):
+    eager = {"pack_code", "document_index", "xml_fragments"}
+    for name, query in registry.QUERIES.items():
+        if name in eager:
+            continue
+        text = plan(query(spark, SMALL))
+        for word in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert word not in text, (name, word)
