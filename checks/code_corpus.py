@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators.spans import quote
-from sheaf.sources.tables import to_corpus
+from sheaf.sources.tables import spread, to_corpus
 
 CODE, IMPORT, COMMENT, DOC, LOG, ACC = "code", "import", "comment", "doc", "log", "acc"
 
@@ -339,6 +339,7 @@ def _sql(template: str) -> str:
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus columns plus ``file_id``."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    part = spread(part, "p_partkey")
     texts, suffixes = [], []
     for i, (language, ext, pieces) in enumerate(FILES):
         body = _assemble("".join(piece_text(p) for p in pieces), "STRING", quote)

@@ -15,7 +15,7 @@ from sheaf.operators.comments import remove_comments, strip_comments
 from sheaf.options import CleanOptions, PackOptions
 from sheaf.plans.pack import pack
 from sheaf.sources.files import scan_files
-from sheaf.sources.tables import to_corpus
+from sheaf.sources.tables import spread, to_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,14 +44,19 @@ TURNS = (
 )
 
 
-def documents(spark: SparkSession, sf_dir: str, keep=("doc_id", "lang", "source")) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, keep=("doc_id", "lang", "source"), heavy: bool = False) -> DataFrame:
+    """``heavy`` is for queries that work on the whole text of every row."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if heavy:
+        table = spread(table.select("doc_id", "text", "lang", "source"), "doc_id")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return to_corpus(table, path, F.col("text"), keep=keep)
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    if heavy:
+        table = spread(table, "page_id")
     bare = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/+$", "")
     return to_corpus(table, F.concat(bare, F.lit(".html")), F.col("html"), keep=["page_id"])
 
@@ -283,7 +288,7 @@ LOOSE = "replace(replace(text, '. ', '. ' || chr(9) || chr(10) || '  ' || chr(10
 
 
 def loose_text(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     text = F.replace(F.col("text"), F.lit(". "), F.lit(". \t\n  \n\n "))
     text = F.replace(text, F.lit(", "), F.lit(", \n\u00a0\n"))
     return docs.select("doc_id", text.alias("content"))
@@ -330,7 +335,7 @@ _HTML_KEPT = "(?is:<script[^>]*>.*?</script *>|<style[^>]*>.*?</style *>)"
     "|(?s:<!--.*?-->)', '\\1', 'g') AS content FROM pages",
 )
 def strip_html_comments(spark, sf_dir):
-    rows = pages(spark, sf_dir)
+    rows = pages(spark, sf_dir, heavy=True)
     return rows.select("page_id", strip_comments(F.col("content"), F.col("language"), False).alias("content"))
 
 
@@ -385,7 +390,7 @@ def clean_code_fully(spark, sf_dir):
     f"SELECT path, text AS content, 'unchanged' AS clean_status FROM {DOCS}",
 )
 def clean_unknown_language(spark, sf_dir):
-    return clean(documents(spark, sf_dir)).select("path", "content", "clean_status")
+    return clean(documents(spark, sf_dir, heavy=True)).select("path", "content", "clean_status")
 
 
 # --- manifest and budget ----------------------------------------------------------------
@@ -499,7 +504,7 @@ def _xml_bundle_sql(rows: str, limit: int) -> str:
 
 
 def _by_lang(spark, sf_dir) -> DataFrame:
-    return documents(spark, sf_dir).withColumn("output", F.concat(F.col("lang"), F.lit(".xml")))
+    return documents(spark, sf_dir, heavy=True).withColumn("output", F.concat(F.col("lang"), F.lit(".xml")))
 
 
 _BY_LANG = f"SELECT lang || '.xml' AS output, path, path AS source, text AS content FROM {DOCS}"
@@ -516,7 +521,7 @@ _BY_SOURCE = f"SELECT source || '/' || lang || '.xml' AS output, path, path AS s
 
 @query("bundle_size_cap", _xml_bundle_sql(_BY_SOURCE, 20480))
 def bundle_size_cap(spark, sf_dir):
-    rows = documents(spark, sf_dir).withColumn(
+    rows = documents(spark, sf_dir, heavy=True).withColumn(
         "output", F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".xml"))
     )
     return bundles.render_bundles(rows, "xml", sizes.parse_size("20KB"))
@@ -527,7 +532,7 @@ def bundle_size_cap(spark, sf_dir):
     "SELECT output, documents, rendered_size, error FROM (" + _xml_bundle_sql(_BY_SOURCE, 20480) + ")",
 )
 def rendered_sizes(spark, sf_dir):
-    rows = documents(spark, sf_dir).withColumn(
+    rows = documents(spark, sf_dir, heavy=True).withColumn(
         "output", F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".xml"))
     )
     return bundles.check_sizes(bundles.encode_documents(rows, "xml", F.col("path")), "xml", 20480)
@@ -559,7 +564,7 @@ _SRC1 = f"SELECT source || '.xml' AS output, path, path AS source, text AS conte
     f" error, coalesce(bundle, e) AS bundle FROM wanted LEFT JOIN ({_xml_bundle_sql(_SRC1, 1 << 40)}) USING (output), blank",
 )
 def empty_outputs(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
+    docs = documents(spark, sf_dir, heavy=True).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
     wanted = docs.select("output").distinct()
     return bundles.render_bundles(docs.where("source like 'src1%'"), "xml", 1 << 40, outputs=wanted)
 
@@ -630,7 +635,7 @@ def yaml_bundle_by_conversation(spark, sf_dir):
     ),
 )
 def bundle_display_paths(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
+    docs = documents(spark, sf_dir, heavy=True).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
     return bundles.render_bundles(docs, "xml", 1 << 40, source=paths.display_path(F.col("path"), "/work/corpus"))
 
 

@@ -57,11 +57,17 @@ def pack(corpus: DataFrame, options: PackOptions) -> DataFrame:
     if options.clean is not None:
         rows = materialize(rows)
     outputs = output_paths(options.roots, options.work_dir, options.output_path)
-    shown = corpus.sparkSession.createDataFrame([(o,) for o in dict.fromkeys(outputs)], "output string")
+    wanted = corpus.sparkSession.createDataFrame([(o,) for o in dict.fromkeys(outputs)], "output string")
+    return render(rows, options, wanted)
+
+
+def render(rows: DataFrame, options: PackOptions, outputs: DataFrame | None = None) -> DataFrame:
+    """Bundles of prepared rows under the paths a reader should see."""
+    path = F.col("path")
     return render_bundles(
         rows,
         output_format(options.output_path),
         parse_size(options.max_output_size),
-        source=display_path(F.col("path"), options.work_dir) if options.work_dir else F.col("path"),
-        outputs=shown,
+        source=display_path(path, options.work_dir) if options.work_dir else path,
+        outputs=outputs,
     )

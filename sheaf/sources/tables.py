@@ -35,6 +35,17 @@ def to_corpus(df: DataFrame, path: Column, content: Column, error: Column | None
     )
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Rows of a plain scan over at least as many tasks as there are cores.
+
+    A file with a single row group is read by one task, which would then do all
+    text work. Only such scans are shuffled, by a deterministic key; a scan
+    with enough tasks, as any large input has, is returned as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def refresh_size(df: DataFrame) -> DataFrame:
     """``size`` follows the current content; ``raw_size`` keeps what was read."""
     return df.withColumn("size", F.octet_length("content").cast("bigint"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sheaf.functions.sizes import parse_size
-from sheaf.operators.bundles import render_bundles, write_bundles
+from sheaf.operators.bundles import write_bundles
 from sheaf.operators.select import select_paths
-from sheaf.options import PackOptions, output_format
-from sheaf.plans.pack import prepare
+from sheaf.options import PackOptions
+from sheaf.plans.pack import prepare, render
 from sheaf.schema import BINARY_FILE
 from sheaf.sources.files import files_to_corpus
 
@@ -32,10 +31,9 @@ def pack_stream(corpus: DataFrame, options: PackOptions, folder: str, progress:
 
     A batch that is tried again overwrites its own folder, so each batch counts once.
     """
-    fmt, limit = output_format(options.output_path), parse_size(options.max_output_size)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_bundles(render_bundles(batch, fmt, limit), f"{folder}/batch={batch_id}")
+        write_bundles(render(batch, options), f"{folder}/batch={batch_id}")
 
     return (
         prepare_stream(corpus, options)
