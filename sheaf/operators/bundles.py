@@ -134,9 +134,13 @@ def check_sizes(encoded: DataFrame, fmt: str, limit: int) -> DataFrame:
 def encode_documents(
     df: DataFrame, fmt: str, source: Column, content: str = "content", order: Sequence[str] = ("path",)
 ) -> DataFrame:
-    """``(output, source, body, order...)`` with both texts encoded for the format."""
+    """``(output, source, body, order...)`` with both texts encoded for the format.
+
+    ``output`` is made non-null so that every use of the sizes has the same plan
+    and the shuffle behind them runs once.
+    """
     return df.select(
-        "output",
+        F.coalesce("output", F.lit("")).alias("output"),
         encode(source, fmt).alias("source"),
         encode(F.col(content), fmt).alias("body"),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
