@@ -37,6 +37,8 @@ class PackOptions:
     anchor: str = "relative"
     clean: CleanOptions | None = None
     enforce_budget: bool = True
+    # the corpus holds one row per path, as one file scan does: no shuffle to drop duplicates
+    unique_paths: bool = False
 
     def __post_init__(self) -> None:
         if not self.include:

@@ -21,7 +21,7 @@ from sheaf.sources.tables import refresh_size
 def candidates(corpus: DataFrame, options: PackOptions) -> DataFrame:
     """Rows the globs select, one per path."""
     chosen = select_paths(corpus, options.include, options.exclude, options.roots, options.anchor)
-    return distinct_paths(chosen)
+    return chosen if options.unique_paths else distinct_paths(chosen)
 
 
 def dry_run(corpus: DataFrame, options: PackOptions) -> DataFrame:

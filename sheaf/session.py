@@ -18,9 +18,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this job")
-    folder = tempfile.mkdtemp(prefix="sheaf-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return tempfile.mkdtemp(prefix="sheaf-checkpoint-")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -299,6 +299,14 @@ def test_long_literals_and_nesting_do_not_overflow(spark):
         "markup": "<!-- " + "x - \n" * (big // 5) + "-->\n",
         "deco": "@a\n" * (big // 3) + "def get_x(self):\n    pass\n",
         "names": "a.b " * (big // 4) + "\n",
+        "dots": "a." * (big // 2) + "\n",
+        "words": "public static " * (big // 14) + "\n",
+        "generics": "public List<" * (big // 12) + "\n",
+        "nested": "print" + "(" * (big // 2) + ")" * (big // 2) + "\n",
+        "curly": "void setX(int x) " + "{" * (big // 2) + "}" * (big // 2) + "\n",
+        "heads": "public void setX(int x)\n" * (big // 24),
+        "equals": "import a =\n" * (big // 11),
+        "template": "`${" * (big // 6) + "}`" * (big // 6) + "\n",
     }
     from sheaf.functions.languages import LANGUAGES
 

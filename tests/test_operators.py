@@ -9,7 +9,7 @@ from sheaf import PackOptions, pack
 from sheaf.operators import assign, bundles, dedup, manifest, numbering
 from sheaf.options import CleanOptions, output_format
 from sheaf.plans.pack import dry_run
-from sheaf.sources.files import scan_files
+from sheaf.sources.files import outer_roots, scan_files
 from sheaf.sources.tables import CORPUS_COLUMNS, to_corpus
 from sheaf.streaming.stream import pack_stream, stream_files
 
@@ -222,6 +222,34 @@ def test_pack_directories(spark, tmp_path):
         pack(files, PackOptions(roots=(root,), max_output_size="20B"))
 
 
+def test_nested_roots_list_each_file_once(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    assert outer_roots([root, f"{root}/one/", f"{root}/./one", f"{root}2", "s3a://b/x/", "s3a://b/x/y"]) == [
+        root,
+        f"{root}2",
+        "s3a://b/x",
+    ]
+    files = scan_files(spark, [root, f"{root}/one"])
+    assert files.count() == len(FILES)
+    options = PackOptions(roots=(root,), work_dir=root, unique_paths=True)
+    kept = pack(files, options)
+    assert kept.collect() == pack(files, PackOptions(roots=(root,), work_dir=root)).collect()
+
+
+def test_files_that_vanish_are_skipped(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    files = scan_files(spark, [root]).select("name", "content")
+    (tmp_path / "src" / "one" / "a.go").unlink()
+    assert sorted(r.name for r in files.collect()) == ["b.json", "big.go", "c.go", "skip.txt"]
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from sheaf.session import checkpoint_dir
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert checkpoint_dir(spark) == named if named else "sheaf-checkpoint-" in checkpoint_dir(spark)
+
+
 def test_write_bundles(spark, tmp_path):
     df = corpus(spark, DOCS).withColumn("output", F.substring_index("path", "/", 1))
     out = bundles.render_bundles(df, "json", 1 << 30)
