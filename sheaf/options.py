@@ -39,6 +39,8 @@ class PackOptions:
     enforce_budget: bool = True
     # the corpus holds one row per path, as one file scan does: no shuffle to drop duplicates
     unique_paths: bool = False
+    # of equal texts keep the one with the smallest path
+    distinct_content: bool = False
 
     def __post_init__(self) -> None:
         if not self.include:

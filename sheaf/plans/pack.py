@@ -10,7 +10,7 @@ from sheaf.functions.sizes import parse_size
 from sheaf.operators.assign import assign_outputs, output_paths
 from sheaf.operators.bundles import render_bundles
 from sheaf.operators.clean import clean
-from sheaf.operators.dedup import distinct_paths
+from sheaf.operators.dedup import content_identity, distinct_identity, distinct_paths
 from sheaf.operators.manifest import manifest, require_budget
 from sheaf.operators.select import drop_empty, select_paths, within_size
 from sheaf.options import PackOptions, output_format
@@ -36,6 +36,8 @@ def dry_run(corpus: DataFrame, options: PackOptions) -> DataFrame:
 def prepare(corpus: DataFrame, options: PackOptions) -> DataFrame:
     """Row-wise stages up to the cleaned, non-empty, assigned documents."""
     rows = within_size(corpus, parse_size(options.max_file_size)).where(F.col("error").isNull())
+    if options.distinct_content:
+        rows = distinct_identity(rows, content_identity())
     if options.clean is not None:
         rows = clean(rows, options.clean)
     rows = refresh_size(drop_empty(rows))

@@ -23,6 +23,8 @@ def stream_files(spark: SparkSession, root: str) -> DataFrame:
 
 def prepare_stream(corpus: DataFrame, options: PackOptions) -> DataFrame:
     """Selection, size limit, cleaning and assignment: no state, no shuffle."""
+    if options.distinct_content:
+        raise ValueError("equal texts of different batches cannot be dropped: that needs all of them")
     return prepare(select_paths(corpus, options.include, options.exclude, options.roots, options.anchor), options)
 
 

@@ -250,6 +250,16 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_dir(spark) == named if named else "sheaf-checkpoint-" in checkpoint_dir(spark)
 
 
+def test_pack_can_keep_one_of_equal_texts(spark):
+    df = corpus(spark, [("b.go", "x"), ("a.go", "x"), ("c.go", "y")])
+    whole = pack(df, PackOptions()).first()
+    once = pack(df, PackOptions(distinct_content=True)).first()
+    assert (whole.documents, once.documents) == (3, 2)
+    assert "<source>a.go" in once.bundle and "b.go" not in once.bundle
+    with pytest.raises(ValueError):
+        pack_stream(df, PackOptions(distinct_content=True), "/tmp/none", "/tmp/none")
+
+
 def test_write_bundles(spark, tmp_path):
     df = corpus(spark, DOCS).withColumn("output", F.substring_index("path", "/", 1))
     out = bundles.render_bundles(df, "json", 1 << 30)
