@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import mixing, sharding
+from sheaf.llm import decontamination, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = sharding.grid(2, 2, 2)
     return sharding.place_documents(table(spark, sf_dir, "documents"), leaves, sharding.with_branch(leaves))
+
+
+@query()
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), n=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated")
+    )
