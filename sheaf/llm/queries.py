@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontamination, mixing, sharding, warc
+from sheaf.llm import decontamination, mixing, sharding, tokens, warc
 from sheaf.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+#: The tokenizer file and the id that ends a document. Its ids fit two bytes.
+TOKENIZER, END_ID, ID_BYTES = "word_bpe_49k.json", 1, 2
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def ids_by_key(docs: DataFrame) -> DataFrame:
+    """Write ``docs`` as token ids and look every document up again."""
+    spark = docs.sparkSession
+    path = new_path(spark, "ids")
+    tokens.write_corpus(docs, path, tokenizer_path(), END_ID, ID_BYTES)
+    read = tokens.read_documents(tokens.look_up(spark, path, tokens.keys_of(docs)), with_ids=False)
+    return read.select(
+        F.col("key").cast("long").alias("doc_id"),
+        "start",
+        F.col("n").alias("n_tokens"),
+        F.col("crc32").alias("ids_crc32"),
+    )
+
+
+@query()
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_by_key(table(spark, sf_dir, "documents"))
