@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontamination, mixing, quality, sharding, tokens, warc
+from sheaf.llm import decontamination, jaccard, mixing, quality, sharding, tokens, warc
 from sheaf.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, trees).drop("text")
+
+
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
