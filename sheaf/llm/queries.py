@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontamination, jaccard, mixing, quality, repeats, secrets, sharding, tokens, warc
+from sheaf.llm import decontamination, jaccard, licenses, mixing, quality, repeats, secrets, sharding, tokens, warc
 from sheaf.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,8 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query(licenses.oracle_sql())
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
