@@ -147,11 +147,12 @@ def drop_empty(spark, sf_dir):
 
 @query(
     "distinct_paths",
-    f"SELECT DISTINCT path, CAST(strlen(text) AS BIGINT) AS raw_size FROM {DOCS} WHERE lang = 'en' OR source LIKE 'src1%'",
+    f"SELECT DISTINCT path, CAST(strlen(text) AS BIGINT) AS raw_size FROM {DOCS}",
 )
 def distinct_paths(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    overlap = docs.where("lang = 'en'").unionAll(docs.where("source like 'src1%'"))
+    # every document, those of one language twice
+    overlap = docs.unionAll(docs.where("lang = 'en'"))
     return dedup.distinct_paths(overlap).select("path", "raw_size")
 
 
@@ -553,20 +554,23 @@ def xml_fragments(spark, sf_dir):
     return numbered.select("output", "index", text.alias("fragment"))
 
 
-_SRC1 = f"SELECT source || '.xml' AS output, path, path AS source, text AS content FROM {DOCS} WHERE source LIKE 'src1%'"
+_BY_SOURCE = f"SELECT source || '.xml' AS output, path, path AS source, text AS content FROM {DOCS}"
+BUNDLE_LIMIT = "1GB"
 
 
 @query(
     "empty_outputs",
-    "WITH wanted AS (SELECT DISTINCT source || '.xml' AS output FROM documents),"
+    "WITH wanted AS (SELECT DISTINCT source || '.xml' AS output FROM documents"
+    " UNION ALL SELECT DISTINCT source || '.none.xml' FROM documents),"
     f" blank AS (SELECT {_XML_HEAD} || {_XML_TAIL} AS e)"
     " SELECT output, coalesce(documents, 0) AS documents, CAST(coalesce(rendered_size, strlen(e)) AS BIGINT) AS rendered_size,"
-    f" error, coalesce(bundle, e) AS bundle FROM wanted LEFT JOIN ({_xml_bundle_sql(_SRC1, 1 << 40)}) USING (output), blank",
+    f" error, coalesce(bundle, e) AS bundle FROM wanted LEFT JOIN ({_xml_bundle_sql(_BY_SOURCE, sizes.parse_size(BUNDLE_LIMIT))}) USING (output), blank",
 )
 def empty_outputs(spark, sf_dir):
     docs = documents(spark, sf_dir, heavy=True).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
-    wanted = docs.select("output").distinct()
-    return bundles.render_bundles(docs.where("source like 'src1%'"), "xml", 1 << 40, outputs=wanted)
+    none = docs.select(F.concat(F.col("source"), F.lit(".none.xml")).alias("output"))
+    wanted = docs.select("output").unionAll(none).distinct()
+    return bundles.render_bundles(docs, "xml", sizes.parse_size(BUNDLE_LIMIT), outputs=wanted)
 
 
 def _quoted_sql(text: str, html: bool) -> str:
@@ -631,12 +635,13 @@ def yaml_bundle_by_conversation(spark, sf_dir):
 @query(
     "bundle_display_paths",
     _xml_bundle_sql(
-        f"SELECT source || '.xml' AS output, path, 'corpus/' || path AS source, text AS content FROM {DOCS}", 1 << 40
+        f"SELECT source || '.xml' AS output, path, 'corpus/' || path AS source, text AS content FROM {DOCS}",
+        sizes.parse_size(BUNDLE_LIMIT),
     ),
 )
 def bundle_display_paths(spark, sf_dir):
     docs = documents(spark, sf_dir, heavy=True).withColumn("output", F.concat(F.col("source"), F.lit(".xml")))
-    return bundles.render_bundles(docs, "xml", 1 << 40, source=paths.display_path(F.col("path"), "/work/corpus"))
+    return bundles.render_bundles(docs, "xml", sizes.parse_size(BUNDLE_LIMIT), source=paths.display_path(F.col("path"), "/work/corpus"))
 
 
 _PACKED = PackOptions(
@@ -654,7 +659,7 @@ SELECT CASE WHEN p_brand = 'Brand#3' THEN '/repo/src/Brand#3.xml' ELSE '/repo/sr
   c.path, c.path AS source, CASE WHEN c.fine THEN {drop_blank_sql('c.content')} ELSE c.content END AS content
 FROM ({C.code_sql(_ALL)}) c JOIN ({C.code_sql()}) o USING (file_id) JOIN part p ON p.p_partkey = c.file_id
 WHERE strlen(o.content) <= 1000 AND c.language IN ('go','java','python','javascript','typescript','kotlin','swift','ruby')
-  AND NOT regexp_matches(p.p_brand, '^Brand#1.$') AND c.path NOT LIKE '%7.java'
+  AND p.p_brand IN ('Brand#2', 'Brand#3') AND c.path NOT LIKE '%7.java'
 """
 
 

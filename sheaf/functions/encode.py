@@ -40,20 +40,22 @@ def _controls() -> list[tuple[str, str]]:
 
 
 def json_string(text: Column) -> Column:
-    """A quoted JSON string that is also safe inside HTML.
+    """A quoted JSON string that is also safe inside HTML; bytes that are not UTF-8 become ``\\ufffd``.
 
     Control characters other than line ends and tabs are rare: their chain of
     replacements sits behind one regex test.
     """
-    common = _chain(text, SHORT_ESCAPES + _unicode(HTML_SAFE))
+    common = _chain(F.make_valid_utf8(text), SHORT_ESCAPES + _unicode(HTML_SAFE))
+    # a replacement character that stood in the text itself stays
+    common = F.when(F.is_valid_utf8(text), common).otherwise(F.replace(common, F.lit("\ufffd"), F.lit("\\ufffd")))
     rare = F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), _rare(common, _controls())).otherwise(common)
     return F.concat(F.lit('"'), rare, F.lit('"'))
 
 
 def yaml_string(text: Column) -> Column:
-    """A double-quoted YAML scalar. Characters YAML calls non-printable are escaped."""
+    """A double-quoted YAML scalar. Characters YAML calls non-printable are escaped, other bytes replaced."""
     odd = [chr(0x7F)] + [chr(n) for n in range(0x80, 0xA0)] + list(YAML_ODD)
-    common = _chain(text, SHORT_ESCAPES)
+    common = _chain(F.make_valid_utf8(text), SHORT_ESCAPES)
     rare = F.when(
         text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u2028\u2029\ufeff\ufffe\uffff]"),
         _rare(common, _controls() + _unicode(odd)),

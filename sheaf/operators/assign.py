@@ -75,8 +75,10 @@ def assign_outputs(df: DataFrame, outputs: Sequence[str], path: str = "path") ->
     if len(owner) > MAX_LITERAL:
         rows = [(name, i) for i, name in enumerate(outputs)]
         table = df.sparkSession.createDataFrame(rows, "output string, ordinal bigint")
-        chosen = assign_to_table(df.select(path), table, path)
-        return df.join(chosen, path).withColumn("output", F.coalesce("output", F.lit(unmatched_output(outputs))))
+        chosen = assign_to_table(df.select(path).distinct(), table, path).withColumnRenamed(path, "_path")
+        # a null path matches no prefix and stays, as it does with the literal
+        joined = df.join(chosen, F.col(path).eqNullSafe(F.col("_path")), "left").drop("_path")
+        return joined.withColumn("output", F.coalesce("output", F.lit(unmatched_output(outputs))))
     lookup = F.create_map(*[F.lit(x) for pair in owner.items() for x in pair])
     deepest = max(key.count("/") for key in owner) + 1
 

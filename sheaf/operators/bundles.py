@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.encode import escape_xml, json_string, yaml_string
 
-# how many of the largest refused outputs are kept out by a broadcast
-HOT_OUTPUTS = 1000
+# tasks over which the rows of one output are spread when refused outputs are left out
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -159,20 +159,19 @@ def render_bundles(
     """One row per output: ``output, documents, rendered_size, error, bundle``.
 
     An output above ``limit`` bytes gets an error and no bundle. Its rows are
-    dropped before the shuffle when it is one of the largest: of the refused
-    outputs the 1000 largest are broadcast away, so whatever is left of a
-    refused output is less than a thousandth of all bytes. ``outputs`` adds the
-    outputs without any document, rendered as valid empty bundles.
+    dropped before they are gathered, by a join on the output and a salt, so
+    that no refused output meets in one task, however large. ``outputs`` adds
+    the outputs without any document, rendered as valid empty bundles.
     """
     lay = LAYOUTS[fmt]
     encoded = encode_documents(df, fmt, F.col("path") if source is None else source, content, order)
     sizes = check_sizes(encoded, fmt, limit)
-    refused = sizes.where(F.col("error").isNotNull())
-    hot = refused.orderBy(F.desc("rendered_size"), "output").limit(HOT_OUTPUTS).select("output")
-    fits = sizes.where(F.col("error").isNull()).select("output")
+    fits = sizes.where(F.col("error").isNull()).select(
+        "output", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    )
     gathered = (
-        encoded.join(F.broadcast(hot), "output", "left_anti")
-        .join(fits, "output", "left_semi")
+        encoded.withColumn("_salt", F.pmod(F.xxhash64("source", "body"), F.lit(SALTS)).cast("int"))
+        .join(fits, ["output", "_salt"], "left_semi")
         .groupBy("output")
         .agg(
             F.sort_array(
@@ -206,9 +205,11 @@ def write_bundles(bundles: DataFrame, folder: str) -> None:
 
     The job's committer publishes the files, so a lost task leaves nothing
     half-written. Spark ends a text row with a line feed, so the one a bundle
-    ends with is left to it.
+    ends with is left to it, and an XML bundle gains one. No expression here
+    decodes the text: its bytes are written as they are.
     """
-    text = F.regexp_replace("bundle", "\n\\z", "")
+    bundle = F.col("bundle")
+    text = F.when(F.endswith(bundle, F.lit("\n")), F.left(bundle, F.length(bundle) - 1)).otherwise(bundle)
     bundles.where(F.col("error").isNull()).select("output", text.alias("value")).write.mode("overwrite").partitionBy(
         "output"
     ).text(folder)

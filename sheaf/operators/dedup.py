@@ -2,7 +2,8 @@
 
 One group may hold a large share of all rows, so no window is used: ``min`` of
 a struct combines on the map side, each task sends at most one row per key,
-and the smallest row wins whatever the order of arrival.
+and the smallest row wins whatever the order of arrival. The struct holds keys
+only; whole rows move at most once, to meet the keys that stay.
 """
 
 from __future__ import annotations
@@ -28,11 +29,17 @@ def distinct_identity(df: DataFrame, identity: Column, is_link: Column | None =
     """One row per underlying item: a real file before a link, then the smallest path.
 
     ``identity`` is a resolved path, or a hash of the content to go further.
-    Rows without an identity stand for themselves.
+    Rows without an identity stand for themselves. Expects one row per path.
     """
-    marked = df.withColumn("_link", is_link if is_link is not None else F.lit(False))
+    link = is_link if is_link is not None else F.lit(False)
     key = F.coalesce(identity, F.concat(F.lit("path:"), F.col("path")))
-    return _smallest(marked, key, ["_link", "path"]).drop("_link")
+    keys = df.select(key.alias("_key"), F.struct(link.alias("link"), F.col("path").alias("path")).alias("_row"))
+    best = keys.groupBy("_key").agg(F.min("_row").alias("_row"))
+    stays = best.select(F.col("_row.path").alias("path"), F.col("_row.link").alias("_link")).distinct()
+    # the path of a kept row can come with another identity as well: the link tells a kept row apart from it
+    marked = df.withColumn("_is_link", link)
+    same = marked["path"].eqNullSafe(stays["path"]) & (marked["_is_link"] == stays["_link"])
+    return marked.join(stays, same, "left_semi").select(df.columns)
 
 
 def content_identity(content: str = "content") -> Column:

@@ -19,8 +19,8 @@ def number_documents(
     Instead the keys are range-partitioned by (output, order), which spreads a
     large output over many tasks in order; each row's range is written down
     once, rows are numbered within their range, and every range is shifted by
-    the rows of the same output before it. Pass keys only and join the text
-    back on the path.
+    the rows of the same output before it. A null output is one of its own. Pass
+    keys only and join the text back on the path.
     """
     keys = [group, *order]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
@@ -33,7 +33,10 @@ def number_documents(
     inside = Window.partitionBy(group, "_range").orderBy(*order)
     numbered = stable.withColumn("_n", F.row_number().over(inside).cast("bigint"))
     return (
-        numbered.join(offsets, [group, "_range"])
+        numbered.join(
+            offsets.withColumnsRenamed({group: "_group", "_range": "_of"}),
+            F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")),
+        )
         .withColumn("index", F.col("_before") + F.col("_n"))
-        .drop("_before", "_n", "_range")
+        .drop("_before", "_n", "_range", "_group", "_of")
     )

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import glob_filter
-from sheaf.functions.paths import clean_path, let, relative_path
+from sheaf.functions.paths import clean_path, let, relative_path, resolve_text
 
 
 def below_roots(path: Column, roots) -> Column:
-    """Path relative to the first root that contains it."""
+    """Path relative to the first root that contains it; null below none of them."""
     def first_inside(whole: Column) -> Column:
-        found = [F.nullif(relative_path(whole, root), whole) for root in roots]
-        return F.coalesce(*found, whole)
+        return F.coalesce(*[F.nullif(relative_path(whole, root), whole) for root in roots])
 
     return let(clean_path(path), first_inside) if roots else path
 
@@ -21,14 +20,21 @@ def below_roots(path: Column, roots) -> Column:
 def select_paths(
     df: DataFrame, include: str = "", exclude: str = "", roots=(), anchor: str = "relative", path: str = "path"
 ) -> DataFrame:
-    """Rows whose path passes the include and exclude globs.
+    """Rows below one of the roots whose path passes the include and exclude globs.
 
+    Without roots, or with the root ``.``, every row is below. A root that is a
+    row's own path holds that row.
     Patterns with a slash are matched below the root by default, so ``build/**``
     finds ``<root>/build``; ``anchor="absolute"`` matches the stored path.
     """
     column = F.col(path)
-    if anchor == "relative":
-        column = below_roots(column, [r for r in roots if r not in ("", ".")])
+    named = [] if any(r in ("", ".") for r in roots) else list(roots)
+    if named:
+        inside = below_roots(column, named)
+        itself = clean_path(column).isin([resolve_text(r) for r in named])
+        df = df.where(inside.isNotNull() | itself)
+        if anchor == "relative":
+            column = F.coalesce(inside, column)
     return df.where(glob_filter(column, include, exclude))
 
 

@@ -18,9 +18,15 @@ from sheaf.session import materialize
 from sheaf.sources.tables import refresh_size
 
 
-def candidates(corpus: DataFrame, options: PackOptions) -> DataFrame:
-    """Rows the globs select, one per path."""
+def candidates(corpus: DataFrame, options: PackOptions, most: int | None = None) -> DataFrame:
+    """Rows the globs select, one per path; with ``most``, of those not larger.
+
+    The size is checked before duplicates are dropped, so it reaches the scan. Of
+    rows with one path the smallest is the one that counts either way.
+    """
     chosen = select_paths(corpus, options.include, options.exclude, options.roots, options.anchor)
+    if most is not None:
+        chosen = within_size(chosen, most)
     return chosen if options.unique_paths else distinct_paths(chosen)
 
 
@@ -55,7 +61,7 @@ def pack(corpus: DataFrame, options: PackOptions) -> DataFrame:
     """
     if options.enforce_budget:
         require_budget(dry_run(corpus, options), parse_size(options.max_output_size))
-    rows = prepare(candidates(corpus, options), options)
+    rows = prepare(candidates(corpus, options, parse_size(options.max_file_size)), options)
     if options.clean is not None:
         rows = materialize(rows)
     outputs = output_paths(options.roots, options.work_dir, options.output_path)

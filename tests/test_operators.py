@@ -167,9 +167,7 @@ def test_limit_is_exact_and_refused_outputs_gather_nothing(spark, fmt):
     assert rendered(spark, fmt, size - 1)["b"].bundle == whole["b"].bundle
 
 
-@pytest.mark.parametrize("hot", [0, 1000])
-def test_refused_outputs_with_and_without_broadcast(spark, monkeypatch, hot):
-    monkeypatch.setattr(bundles, "HOT_OUTPUTS", hot)
+def test_refused_hot_output(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 30).cast("string")).alias("output"),
         F.col("id").cast("string").alias("path"),
