@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sheaf.llm.graph import components
@@ -39,6 +40,8 @@ CUTS = 4
 #: Buckets of the histogram that bounds how far two sets can agree.
 BUCKETS = 1024
 SALTS = 16
+#: Documents sampled for common grams, and the most of these that are broadcast (8 bytes each).
+SAMPLE, COMMON = 20_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -84,35 +87,51 @@ def set_hash(grams: np.ndarray) -> np.uint64:
     return mixed(mixed(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams)))[0]
 
 
-def class_hashes(grams: np.ndarray, rule: Rule) -> np.ndarray:
+def level_edges(size: int) -> list[int]:
+    """Where levels begin: 1, 2, 3, 4, 6, 8, 12, 16, ..., two per doubling, up to one beyond ``size``."""
+    edges = [1, 2]
+    while edges[-1] <= size:
+        edges += [3 * edges[-1] // 2, 2 * edges[-1]]
+    return edges
+
+
+def class_hashes(grams: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarray:
     """What the set shares at least one of with every set it links to, but for equal ones.
 
-    Sizes fall into levels [2**i, 2**(i+1)); a pair meets at the smaller set's
-    level, so a set also serves the level below if a linked set can lie there.
-    A level has more classes than a pair of it can differ in. Should the class
-    they share be empty, all others differ, and then both sets have too few
-    classes that are not empty; only such sets hand in their empty classes.
+    Sizes fall into levels; a pair meets at the smaller set's level, so a set also
+    serves the levels below in which a linked set can lie. A level has more
+    classes than a pair of it can differ in, so one is the same in both.
+
+    A class without a gram outside ``common`` is weak: empty, or alike in many
+    unrelated sets. If a pair's only equal classes are weak, all their other
+    classes differ, so both have no more of these than they can differ in. Only
+    such sets hand in their weak classes, and nothing is lost.
     """
     size, out = len(grams), []
-    level = size.bit_length() - 1
-    below = rule.percent * size < 100 * (1 << level)
+    edges = level_edges(size)
+    level = int(np.searchsorted(edges, size, "right")) - 1
     spread = mixed(grams ^ np.uint64(0x5851F42D4C957F2D))
-    for k in (level, level - 1)[: 1 + (below and level > 0)]:
-        differ = rule.differ((1 << (k + 1)) - 1)
+    rare = np.ones(size, bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
+    for k in range(level, -1, -1):
+        largest = edges[k + 1] - 1
+        if k < level and 100 * largest < rule.percent * size:
+            break
+        differ = rule.differ(largest)
         if not differ:
             continue
-        classes = differ + 2 + differ // 32
+        classes = differ + 2 + differ // 16
         of = (spread % np.uint64(classes)).astype(np.int64)
+        sums = np.zeros(classes, np.uint64)
         order = np.argsort(of)
-        of = of[order]
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        sums = np.add.reduceat(mixed(spread[order]), first)
-        names = of[first]
+        ranked = of[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        sums[ranked[first]] = np.add.reduceat(mixed(spread[order]), first)
+        names = np.flatnonzero(np.bincount(of[rare], minlength=classes))
         if len(names) <= min(differ, rule.differ(size)):
-            empty = np.setdiff1d(np.arange(classes), names)
-            names = np.append(names, empty)
-            sums = np.append(sums, np.zeros(len(empty), np.uint64))
-        out.append(mixed(sums + mixed(names.astype(np.uint64) + np.uint64(k << 40))))
+            names = np.arange(classes)
+        out.append(mixed(sums[names] + mixed(names.astype(np.uint64) + np.uint64(k << 40))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -121,25 +140,46 @@ def _signed(values) -> pa.Array:
 
 
 def with_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n_shingles, set``: set is the set's hash, null for the empty set."""
+    """``docs`` with ``n_shingles`` and ``set``, the set's hash, null for the empty set."""
+    where = docs.columns.index("text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column(where)):
                 sets = gram_sets(part, rule.n)
                 sizes = np.array([len(s) for s in sets])
-                hashes = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
+                hashes = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(part.first, len(part)),
+                        *batch.slice(part.first, len(part)).columns,
                         pa.array(sizes, pa.int64()),
                         pa.array(hashes, mask=sizes == 0),
                     ],
-                    names=["doc_id", "n_shingles", "set"],
+                    names=[*batch.schema.names, "n_shingles", "set"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, n_shingles long, set long")
+    added = [T.StructField("n_shingles", T.LongType()), T.StructField("set", T.LongType())]
+    return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, *added]))
+
+
+def common_grams(docs: DataFrame, rule: Rule, most: int = SAMPLE) -> np.ndarray:
+    """Grams that two different sets of a bounded sample of documents share, sorted.
+
+    Which grams are in it changes the work, not the result.
+    """
+    sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(most).select(F.col("doc_id").alias("_id")).distinct()
+    texts = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text").dropDuplicates()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                sets = gram_sets(part, rule.n)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets))], names=["gram"])
+
+    counts = texts.mapInArrow(grams, "gram long").groupBy("gram").count().where("count > 1")
+    # at most COMMON numbers come to the driver
+    rows = counts.orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").toPandas()
+    return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -148,6 +188,8 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
     A task hands in each set once, so copies cost nothing further on.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(common_grams(docs, rule))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -160,7 +202,7 @@ def candidate_edges(docs: DataFrame, rule: Rule) -> DataFrame:
                     if int(own) in seen:
                         continue
                     seen.add(int(own))
-                    found = class_hashes(grams, rule)
+                    found = class_hashes(grams, rule, shared.value)
                     keys.append(found)
                     owners.append(np.full(len(found), own))
                 if keys:
@@ -389,7 +431,7 @@ def _open(compared: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (doc_id, text).
+    """``doc_id, n_shingles, set, component_id`` for every row of ``docs`` (doc_id, text).
 
     A-Z are lower-cased, words are runs of bytes other than 0x20 and 0x09 to
     0x0D, a document's set holds its distinct grams of ``rule.n`` words; with fewer
@@ -399,7 +441,7 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     repeat a doc_id each have their line. Grams are 64-bit hashes of their words.
     """
     docs = docs.select("doc_id", "text")
-    sets = stored(with_sets(docs, rule), "sets")
+    sets = stored(with_sets(docs, rule).drop("text"), "sets")
     known = sets.where("set IS NOT NULL")
     classes = known.groupBy("set").agg(
         F.min("doc_id").alias("_id"), F.first("n_shingles").alias("_size"), F.count("*").alias("_n")
@@ -443,5 +485,29 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     return sets.join(answer, (sets["set"] == answer["_set"]) & (salt == answer["_salt"]), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "set", F.coalesce("_component", "doc_id").alias("component_id")
+    )
+
+
+def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id; the columns stay as they are.
+
+    Of rows that repeat a doc_id and its set one stays; documents with the empty
+    set all stay. Rows with the smallest doc_id of a component but different sets
+    stay both, as do rows without a doc_id if none of their component has one.
+    """
+    names = docs.columns
+    linked = link_components(docs.select("doc_id", "text"), rule)
+    kept = linked.where(F.col("set").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("set").alias("_kept_set")).distinct()
+    own = [f"_own{k}" for k in range(len(names))]
+    # names of their own keep added columns apart from any that docs has
+    plain = docs.toDF(*own).withColumns({"doc_id": F.col(own[names.index("doc_id")]), "text": F.col(own[names.index("text")])})
+    joined = with_sets(plain, rule).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("set") == F.col("_kept_set")), "left"
+    )
+    alike = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("n_shingles"))
+    chosen = joined.withColumn("_alike", F.when(F.col("set").isNotNull(), alike).otherwise(1)).where(
+        F.col("set").isNull() | (F.col("_kept_set").isNotNull() & (F.col("_alike") == 1))
     )
+    return chosen.select(*own).toDF(*names)
