@@ -99,8 +99,8 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     the positions that still tie. ``rank`` is where a position's group begins.
     """
     n = len(ids)
-    key = ids.astype(np.int64) * (int(ids.max(initial=0)) + 1)
-    key[:-1] += ids[1:]
+    key = ids.astype(np.int64) * (int(ids.max(initial=0)) + 2)
+    key[:-1] += ids[1:] + 1
     order = np.argsort(key)
     tied, rank, width = np.arange(n), np.zeros(n, np.int64), 2
     part, key = order, key[order]

@@ -92,15 +92,24 @@ def normalised(sentence: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(words, " +", " ")), "licence", "license")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences in order: what ends in ``. ! ? ; :`` and white space, and where that spans lines, its lines too."""
+def sentence_ids(text: Column, table: Column) -> Column:
+    """Identifiers of the known sentences in order.
+
+    A sentence ends in ``. ! ? ; :`` and white space. One over several lines that is
+    not known is looked up line by line.
+    """
     parts = F.split(F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n]+", "$1\x01"), "\x01")
-    return F.flatten(
-        F.transform(
-            parts,
-            lambda part: F.when(part.contains("\n"), F.concat(F.array(part), F.split(part, "\n"))).otherwise(F.array(part)),
-        )
+
+    def known(sentence: Column) -> Column:
+        return F.element_at(table, normalised(sentence))
+
+    each = F.transform(
+        parts,
+        lambda part: F.when(
+            ~part.contains("\n") | known(part).isNotNull(), F.array(known(part))
+        ).otherwise(F.transform(F.split(part, "\n"), known)),
     )
+    return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
@@ -118,9 +127,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
             raise ValueError(f"sentence {name} needs a plain identifier and a text of its own")
         by_text[sentence] = name
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    ids = F.filter(
-        F.transform(sentences(F.col("_text")), lambda s: F.element_at(table, normalised(s))), lambda x: x.isNotNull()
-    )
+    ids = sentence_ids(F.col("_text"), table)
     found = settle(
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")),
         {"_ids": F.when(F.col("_text").rlike(HINT), ids).otherwise(F.array().cast("array<string>"))},
@@ -164,19 +171,19 @@ def oracle_sql(known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
         plan, left = f"r{k}", f"left{k}"
         names.append(f"CASE WHEN hit{k} THEN '{name}' END")
     every = ", ".join(names)
-    normal = (
-        "regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace("
-        f"translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9.]+', ' ', 'g'), '[.]+( |$)', ' ', 'g'), ' +', ' ', 'g'), ' '), 'licence', 'license', 'g')"
+    known_id = (
+        "m[regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace("
+        f"translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9.]+', ' ', 'g'), '[.]+( |$)', ' ', 'g'), ' +', ' ', 'g'), ' '), "
+        "'licence', 'license', 'g')]"
     )
     parts = "string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1))"
     return f"""
 WITH known AS (SELECT MAP {{{pairs}}} AS m),
-cut AS (
-  SELECT doc_id, flatten(list_transform({parts},
-    lambda p: CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END)) AS parts
-  FROM documents
-), found AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda s: m[{normal}]), lambda x: x IS NOT NULL) AS ids FROM cut, known
+found AS (
+  SELECT doc_id, list_filter(flatten(list_transform({parts}, lambda s:
+    CASE WHEN NOT contains(s, chr(10)) OR {known_id} IS NOT NULL THEN [{known_id}]
+    ELSE list_transform(string_split(s, chr(10)), lambda s: {known_id}) END)), lambda x: x IS NOT NULL) AS ids
+  FROM documents, known
 ), base AS (
   SELECT doc_id, ids, coalesce(list_aggregate(list_transform(ids, lambda x: '|' || x || '|'), 'string_agg', ''), '') AS joined FROM found
 ), {", ".join(steps)},

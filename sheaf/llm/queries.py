@@ -157,7 +157,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85))
+    return jaccard.link_components(table(spark, sf_dir, "documents"), jaccard.Rule(4, 85)).drop("set")
 
 
 @query()
