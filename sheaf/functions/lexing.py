@@ -27,6 +27,10 @@ DOC_SLASH = r"///[^\n]*+"
 DOC_WORD = r"// Doc [^\n]*+"
 
 
+# comments inside comments that are read as such; a text with more is left alone (``leftover``)
+NESTED = 24
+
+
 def _nested_block(depth: int) -> str:
     inner = r"\*(?!/)|/(?!\*)" + (f"|{_nested_block(depth - 1)}" if depth else "")
     return rf"/\*[^*/]*+(?:(?:{inner})[^*/]*+)*+\*/"
@@ -41,7 +45,18 @@ def _interpolated(opener: str, closer: str, start: str) -> str:
 
 _TEMPLATE_PART = r"[^{}`]++|`[^`]*+`|\{(?:[^{}`]++|`[^`]*+`)*+\}"
 TEMPLATE = rf"`[^`\\$]*+(?:(?:\\{ANY}|\$\{{(?:{_TEMPLATE_PART})*+\}}|\$)[^`\\$]*+)*+`"
-REGEX_LITERAL = r"(?<=[(,=:\[!&|?{};\n][ \t]{0,8})/(?![/*])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
+# a slash after an operator, an opening bracket or one of these words begins a literal, else it divides
+_BEFORE_REGEX = (
+    r"(?:(?<=[(,=:\[!&|?{};\n][ \t]{0,64})"
+    r"|(?<=\b(?:return|typeof|case|in|of|delete|void|throw|do|else|yield|await)[ \t]{0,64}))"
+)
+REGEX_LITERAL = _BEFORE_REGEX + r"/(?![/*])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/"
+# a letter after the percent sign tells a literal from a remainder
+RUBY_PERCENT = (
+    rf"(?<![\w)\]}}])%[qQwWiIrxs](?:\[[^\]\\]*+(?:\\{ANY}[^\]\\]*+)*+\]|\([^)\\]*+(?:\\{ANY}[^)\\]*+)*+\)"
+    rf"|\{{[^}}\\]*+(?:\\{ANY}[^}}\\]*+)*+\}}|<[^>\\]*+(?:\\{ANY}[^>\\]*+)*+>"
+    rf"|\|[^|\\]*+(?:\\{ANY}[^|\\]*+)*+\||![^!\\]*+(?:\\{ANY}[^!\\]*+)*+!)"
+)
 HEREDOC = r"""<<[~-]?+["'`]?+(?<tag>[A-Z_]\w*+)["'`]?+[^\n]*+\n(?s:.*?)(?m:^)[ \t]*+\k<tag>(?m:$)"""
 PHP_HEREDOC = r"""<<<[ \t]*+["']?+(?<tag>\w++)["']?+\n(?s:.*?)\n[ \t]*+\k<tag>\b"""
 
@@ -110,10 +125,10 @@ LEXICONS: dict[str, Lexicon] = {
         markers=("//", "/*", "#"),
     ),
     "ruby": Lexicon(
-        (HEREDOC, DOUBLE_LINES, SINGLE_LINES, "`[^`]*+`"),
+        (HEREDOC, DOUBLE_LINES, SINGLE_LINES, "`[^`]*+`", RUBY_PERCENT),
         (r"(?m:^)=begin\b(?s:.*?)(?m:^)=end\b[^\n]*+", r"(?<![?$\\])#(?!\{)[^\n]*+"),
         (r"(?<![?$\\])#(?!\{)[^\n]*+",),
-        r"""\"'`#<=""",
+        r"""\"'`#<=%""",
         markers=("#", "=begin"),
     ),
     "bash": Lexicon(
@@ -126,13 +141,13 @@ LEXICONS: dict[str, Lexicon] = {
     ),
     "swift": Lexicon(
         (r'#"(?s:.*?)"#', TRIPLE, _interpolated("(", ")", r"\\")),
-        (LINE, _nested_block(3)),
+        (LINE, _nested_block(NESTED)),
         _C_DOCS,
         r"""\"/#""",
     ),
     "kotlin": Lexicon(
         (TRIPLE_RAW, _interpolated("{", "}", r"\$"), SINGLE),
-        (LINE, _nested_block(3)),
+        (LINE, _nested_block(NESTED)),
         _BLOCK_DOCS,
     ),
     "sql": Lexicon(

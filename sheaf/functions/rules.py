@@ -66,8 +66,8 @@ _KT_WORDS = (
     "private|protected|internal|public|open|override|abstract|final|inline|lateinit|const|suspend|operator|external"
 )
 _KT_HEAD = rf"{LINE_START}(?:(?:{_KT_WORDS}|@\w[\w.]*+(?:\([^)\n]*+\))?+)[ \t]++)*+"
-# receivers in front of a call; bounded, because an unbounded group overflows the stack on long chains
-_OWNER = r"(?:\w++\.){0,16}"
+# receivers in front of a call, any number: a loop over one class of characters needs no stack
+_OWNER = r"(?:[\w.]*\.)?"
 
 _JS = Rules(
     logging=rf"{LINE_START}(?:console|logger)\.\w",

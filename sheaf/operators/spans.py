@@ -22,8 +22,8 @@ from sheaf.functions.lexing import LEXICONS, MASKED, logical_line_regex, mask_re
 
 # marker characters, from a private block of Unicode that code does not use
 (STATEMENT, LINE, PLAIN, RETURNS, ASSIGNS, ACCESSES, ATTACHED, LEAD, PROPERTY) = map(chr, range(0xE000, 0xE009))
-(HAS_RETURN, HAS_ACCESSOR, GOES_ON, OPEN, CLOSE, INSIDE) = map(chr, range(0xE009, 0xE00F))
-ANY_MARKER = "\ue000-\ue00e"
+(HAS_RETURN, HAS_ACCESSOR, GOES_ON, OPEN, CLOSE, INSIDE, HOLD) = map(chr, range(0xE009, 0xE010))
+ANY_MARKER = "\ue000-\ue00f"
 STARTS = "\ue000-\ue006"
 
 # brackets nested deeper than this inside one span leave that span in place
@@ -60,14 +60,15 @@ def mask_text(text: str, language: str) -> str:
 
 
 def is_balanced(masked: str, language: str) -> str:
-    """Whether every bracket of the masked text has a partner, by count."""
+    """Whether every bracket of the masked text has a partner, by count, and no comment is left in part."""
 
     def count(char: str) -> str:
         return f"length(replace({masked}, '{char}', ''))"
 
     even = " AND ".join(f"{count(o)} = {count(c)}" for o, c in ("()", "[]", "{}"))
     loose = ", ".join(quote(name) for name, lex in LEXICONS.items() if not lex.balanced)
-    return f"({language} IN ({loose}) OR ({even}))"
+    nested = f"{language} IN ('swift', 'kotlin') AND (instr({masked}, '/*') > 0 OR instr({masked}, '*/') > 0)"
+    return f"({language} IN ({loose}) OR ({even} AND NOT ({nested})))"
 
 
 def _bracketed(inner: str) -> str:
@@ -109,6 +110,17 @@ def _indented_accessors() -> str:
     return rf"(?dm)^(?<ind>[ \t]*+){header}{line}(?:{deeper})*+"
 
 
+# a statement below one of these is its whole body: an empty statement has to stay in its place
+BODY_OF = r"(?<=(?:\)|\belse|\bdo)[ \t\r]{0,64}\n)"
+# where lines need no semicolon the line above must be seen to be a header
+BODY_OF_HEADER = (
+    r"(?<=(?:^|\n)[ \t]{0,200}(?:\}[ \t]{0,8})?(?:else[ \t]{1,8})?(?:if|for|while)\b[^\n]{0,2000}\)[ \t\r]{0,64}\n"
+    r"|\b(?:else|do)[ \t\r]{0,64}\n)"
+)
+HEADERS = {"java": BODY_OF, "cpp": BODY_OF, "csharp": BODY_OF, "php": BODY_OF}
+HEADERS |= dict.fromkeys(("javascript", "typescript", "kotlin"), BODY_OF_HEADER)
+
+
 def _mark(text: str, marker: str, patterns: list[str]) -> str:
     """Put ``marker`` in front of every line one of the patterns opens."""
     return sub(text, f"(?dm)^(?=(?:{'|'.join(patterns)}))", marker) if patterns else text
@@ -132,7 +144,10 @@ def mark_text(masked: str, language: str, accessors: bool, statements: Mapping[s
         starts = statements.get(name, [])
         whole = [p for p in starts if rule.blocks == "lines" or "#[" in p]
         text = _mark(text, LINE, whole)
-        text = _mark(text, STATEMENT, [p for p in starts if p not in whole])
+        plain = [p for p in starts if p not in whole]
+        text = _mark(text, STATEMENT, plain)
+        if plain and name in HEADERS:
+            text = sub(text, f"(?dm)^{HEADERS[name]}(?={STATEMENT})", HOLD)
         if text != masked:
             branches[name] = text
     return by_language(language, branches)
@@ -203,6 +218,8 @@ def drop_spans(text: str, language: str, wrapped: str) -> str:
     return f"""
     array_join(zip_with({lines}, split({wrapped}, '\\n', -1), (line, flag) -> CASE
         WHEN flag IS NULL THEN line
+        WHEN instr(flag, '{HOLD}') > 0 AND instr(flag, '{OPEN}') > 0 THEN
+          concat(regexp_extract(line, '^[ \\t]*', 0), ';', IF(instr(flag, '{CLOSE}') > 0 AND endswith(line, '\\n'), '\\n', ''))
         WHEN instr(flag, '{CLOSE}') > 0 THEN IF(endswith(line, '\\n'), '\\n', '')
         WHEN startswith(flag, '{INSIDE}') OR instr(flag, '{OPEN}') > 0 THEN ''
         ELSE line END), '')"""
