@@ -28,5 +28,5 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: lineage ends here."""
     path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
