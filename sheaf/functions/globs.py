@@ -20,28 +20,28 @@ def check_patterns(patterns: str) -> None:
     """Raise ``ValueError`` for a pattern list no plan should be built from."""
 
     def refuse(reason: str) -> None:
-        raise ValueError(f"invalid pattern {patterns!r}: {reason}")
+        raise ValueError(f"pattern list {patterns!r}: {reason}")
 
     if "\0" in patterns:
-        refuse("pattern contains null bytes")
+        refuse("it holds a null byte")
     if len(patterns.encode()) > MAX_LENGTH:
-        refuse(f"pattern too long (max {MAX_LENGTH} chars)")
+        refuse(f"it is longer than {MAX_LENGTH} bytes")
     for piece in BANNED:
         if piece in patterns:
-            refuse(f"contains banned pattern: {piece!r}")
+            refuse(f"{piece!r} is not allowed")
     bare = re.sub(r"\\.", "", patterns, flags=re.S)
     for opener, closer, word in (("{", "}", "brace"), ("[", "]", "bracket")):
         open_count = 0
         for char in bare:
             open_count += (char == opener) - (char == closer)
             if open_count < 0:
-                refuse(f"unmatched closing {word}")
+                refuse(f"a {word} closes that was not opened")
         if open_count:
-            refuse(f"unclosed {word}")
+            refuse(f"a {word} stays open")
     if re.search(r"(?:^|[^\\])(?:\\\\)*\\$", patterns):
-        refuse("invalid pattern syntax")
+        refuse("it does not parse")
     if re.search(r"\[[!^]?\]", bare):
-        refuse("invalid pattern syntax")
+        refuse("it does not parse")
 
 
 def _top_level(text: str) -> list[str]:

@@ -16,15 +16,15 @@ def parse_size(text: str) -> int:
     """Bytes meant by an argument such as ``10MB``."""
     squeezed = text.replace(" ", "").upper()
     if not squeezed:
-        raise ValueError("size cannot be empty")
+        raise ValueError("a size is needed")
     if not squeezed.endswith("B"):
-        raise ValueError("invalid size format: must end with B, KB, MB, GB, or TB")
+        raise ValueError(f"size {text!r} needs a unit: B, KB, MB, GB or TB")
     found = re.fullmatch(r"([+-]?[0-9]+)([KMGT]?)B", squeezed)
     if not found:
-        raise ValueError(f"invalid size number: {text!r}")
+        raise ValueError(f"size {text!r} is no whole number")
     number = int(found.group(1))
     if number <= 0:
-        raise ValueError("size must be a positive number")
+        raise ValueError(f"size {text!r} is not above zero")
     return number * 1024 ** UNITS[found.group(2)]
 
 

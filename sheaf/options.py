@@ -44,7 +44,7 @@ class PackOptions:
 
     def __post_init__(self) -> None:
         if not self.include:
-            raise ValueError("pattern cannot be empty")
+            raise ValueError("an include pattern is needed")
         if not self.roots:
             raise ValueError("at least one root is needed")
         if self.anchor not in ("relative", "absolute"):
@@ -60,5 +60,5 @@ def output_format(output_path: str | None) -> str:
     suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     known = {"xml": "xml", "json": "json", "yaml": "yaml", "yml": "yaml"}
     if suffix not in known:
-        raise ValueError("invalid output file extension: must be .xml, .json, .yaml, or .yml")
+        raise ValueError(f"output {name!r} has no known format: xml, json, yaml or yml")
     return known[suffix]

@@ -34,6 +34,7 @@ def clean_all(spark):
 
 
 def test_goldens(clean_all):
+    # fixed values: inputs and results that have to come out like this
     pairs = [
         ("go", "package main\n// This is a comment\nfunc main() {}\n/* Block comment */\n"),
         ("go", "package main\n\n\nfunc main() {\n\n\n}\n\n"),
@@ -52,12 +53,46 @@ def test_doc_comments_stay(clean_all):
 
 
 def test_java_logging_and_getters(clean_all):
-    body = 'class Test {\nvoid test() {\nlog.info("test");\nSystem.out.println("debug");\n}\n}'
+    body = 'class Cart {\nint sum(int a) {\nlog.warn("low");\nSystem.err.println(a);\nreturn a;\n}\n}'
     [(text, _)] = clean_all([("java", body)], opts(remove_logging=True))
-    assert text == "class Test {\nvoid test() {\n\n\n}\n}"
-    body = "public class Test {\n    public String getName() { return name; }\n    void otherMethod() {}\n}"
+    assert text == "class Cart {\nint sum(int a) {\n\n\nreturn a;\n}\n}"
+    body = "class Cart {\n    private int getTotal() { return total; }\n    void add(int x) {}\n}"
     [(text, _)] = clean_all([("java", body)], opts(remove_accessors=True))
-    assert text == "public class Test {\n\n    void otherMethod() {}\n}"
+    assert text == "class Cart {\n\n    void add(int x) {}\n}"
+
+
+def test_a_removed_body_leaves_an_empty_statement(clean_all):
+    pairs = [
+        ("javascript", "for (const a of x)\n  console.log(a);\nsave(x);\n"),
+        ("cpp", 'while (x--)\n  printf("a");\ndone();\n'),
+        ("java", "if (x > 1)\n  log.info(1,\n    2);\nelse\n  foo();\n"),
+        ("java", "if (x) foo();\nelse\n  log.info(1);\nbar();\n"),
+        ("javascript", "foo()\nconsole.log(1)\nbar()\n"),
+    ]
+    assert [t for t, _ in clean_all(pairs, opts(remove_logging=True))] == [
+        "for (const a of x)\n  ;\nsave(x);\n",
+        "while (x--)\n  ;\ndone();\n",
+        "if (x > 1)\n  ;\nelse\n  foo();\n",
+        "if (x) foo();\nelse\n  ;\nbar();\n",
+        "foo()\n\nbar()\n",
+    ]
+
+
+def test_receivers_nested_comments_and_literals_without_small_limits(clean_all):
+    nested = "/* " * 20 + "x" + " */" * 20
+    pairs = [
+        ("go", ".".join(f"a{i}" for i in range(300)) + ".log.Println(1)\nx()\n"),
+        ("swift", nested + "\nlet a = 1\n"),
+        ("kotlin", "/* " * 40 + " */" * 40 + "\nval a = 1\n"),
+        ("javascript", 'function f(s) {\n  return /["]/.test("a//b"); // c\n}\n'),
+        ("ruby", "x = %w[#x y]\nputs 1\n"),
+    ]
+    got = clean_all(pairs, opts(remove_logging=True, remove_comments=True))
+    assert got[0] == ("\nx()\n", "cleaned")
+    assert got[1] == ("\nlet a = 1\n", "cleaned")
+    assert got[2] == (pairs[2][1], "failed")
+    assert got[3] == ('function f(s) {\n  return /["]/.test("a//b"); \n}\n', "cleaned")
+    assert got[4] == ("x = %w[#x y]\n\n", "cleaned")
 
 
 def test_unparsable_texts_are_left_alone(clean_all):

@@ -6,6 +6,7 @@ from sheaf.functions.languages import detect_language
 
 V = F.col("v")
 
+# fixed values: what arguments mean
 SIZES = [
     ("100B", 100),
     ("1KB", 1024),
