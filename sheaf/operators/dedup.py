@@ -29,7 +29,7 @@ def distinct_identity(df: DataFrame, identity: Column, is_link: Column | None =
     """One row per underlying item: a real file before a link, then the smallest path.
 
     ``identity`` is a resolved path, or a hash of the content to go further.
-    Rows without an identity stand for themselves. Expects one row per path.
+    Rows without an identity stand for themselves; of rows that repeat a path one stays.
     """
     link = is_link if is_link is not None else F.lit(False)
     key = F.coalesce(identity, F.concat(F.lit("path:"), F.col("path")))
@@ -37,9 +37,9 @@ def distinct_identity(df: DataFrame, identity: Column, is_link: Column | None =
     best = keys.groupBy("_key").agg(F.min("_row").alias("_row"))
     stays = best.select(F.col("_row.path").alias("path"), F.col("_row.link").alias("_link")).distinct()
     # the path of a kept row can come with another identity as well: the link tells a kept row apart from it
-    marked = df.withColumn("_is_link", link)
-    same = marked["path"].eqNullSafe(stays["path"]) & (marked["_is_link"] == stays["_link"])
-    return marked.join(stays, same, "left_semi").select(df.columns)
+    kept = df.withColumn("_link", link).join(stays, ["path", "_link"], "left_semi")
+    # rows that repeat a path are next to each other after the join: no further shuffle
+    return kept.dropDuplicates(["path", "_link"]).select(df.columns)
 
 
 def content_identity(content: str = "content") -> Column:

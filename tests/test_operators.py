@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from checks import registry
 from conftest import SMALL
 from sheaf import PackOptions, pack
-from sheaf.operators import assign, bundles, dedup, manifest, numbering
+from sheaf.operators import assign, bundles, dedup, manifest, numbering, select
 from sheaf.options import CleanOptions, output_format
-from sheaf.plans.pack import dry_run
+from sheaf.plans.pack import candidates, dry_run
 from sheaf.sources.files import outer_roots, scan_files
 from sheaf.sources.tables import CORPUS_COLUMNS, to_corpus
 from sheaf.streaming.stream import pack_stream, stream_files
@@ -290,3 +290,55 @@ def test_every_query_has_a_plan_without_python_or_cross_joins(spark):
         text = plan(query(spark, SMALL))
         for word in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
             assert word not in text, (name, word)
+
+
+def test_only_rows_below_a_root(spark):
+    rows = [("/r/a/x.go",), ("/r/ab/y.go",), ("/other/z.go",), ("/r/one.go",)]
+    df = spark.createDataFrame(rows, "path string")
+    below = lambda roots: sorted(r.path for r in select.select_paths(df, "**", roots=roots).collect())
+    assert below(("/r/a",)) == ["/r/a/x.go"]
+    assert below(("/r/a", "/r/one.go")) == ["/r/a/x.go", "/r/one.go"]
+    assert len(below((".",))) == len(below(())) == 4
+
+
+@pytest.mark.parametrize("count", [3, 1200])
+def test_null_paths_stay_however_many_outputs(spark, count):
+    df = spark.createDataFrame([("/w/o7/a.go", 1), (None, 2), (None, 2)], "path string, n int")
+    outputs = [f"/w/o{i}/out{i}.xml" for i in range(1, count + 1)]
+    got = sorted((r.n, r.output) for r in assign.assign_outputs(df, outputs).collect())
+    assert [n for n, _ in got] == [1, 2, 2]
+    assert all(output.endswith("_unmatched.xml") for n, output in got if n == 2)
+
+
+def test_null_outputs_are_numbered(spark):
+    df = spark.createDataFrame([(None, "b"), (None, "a"), ("o", "c")], "output string, path string")
+    got = sorted((r.output or "", r.path, r["index"]) for r in numbering.number_documents(df).collect())
+    assert got == [("", "a", 1), ("", "b", 2), ("o", "c", 1)]
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    raw = b"<\xff\xfe\0>"
+    df = spark.createDataFrame([("p", bytearray(raw))], "path string, raw binary").selectExpr(
+        "'o' AS output", "path", "cast(raw AS string) AS content"
+    )
+    sizes = {}
+    for fmt in ("xml", "json", "yaml"):
+        out = bundles.render_bundles(df, fmt, 10_000)
+        sizes[fmt] = out.first().rendered_size
+        bundles.write_bundles(out, str(tmp_path / fmt))
+    files = {f: next((tmp_path / f / "output=o").glob("part-*")).read_bytes() for f in sizes}
+    assert b"&lt;\xff\xfe\0&gt;" in files["xml"] and len(files["xml"]) == sizes["xml"] + 1
+    assert json.loads(files["json"])["documents"][0]["document_content"] == "<��\0>"
+    assert len(files["json"]) == sizes["json"] and len(files["yaml"]) == sizes["yaml"]
+    files["yaml"].decode()
+
+
+def test_default_pack_prunes_by_size_in_the_scan(spark, tmp_path):
+    (tmp_path / "a.go").write_text("package a\n")
+    (tmp_path / "b.go").write_text("package b\n" * 100)
+    options = PackOptions(include="*.go", max_file_size="50B", roots=(str(tmp_path),))
+    corpus = scan_files(spark, options.roots)
+    chosen = candidates(corpus, options, 50)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,50)" in plan
+    assert [r.name for r in chosen.collect()] == ["a.go"]
