@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 #: How the word vocabulary cuts a lower-case text (a fixed value of its file).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

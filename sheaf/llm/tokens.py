@@ -35,7 +35,7 @@ from sheaf.llm.words import mixed, slices
 
 MAGIC = b"IDS1"
 #: Bytes of ids in a block, about.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Keys in a bucket of the index, about.
 BUCKET = 4096
 #: Bits per key of each array of the hash.
@@ -78,6 +78,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int, width: int =
                     raise ValueError(f"ids do not fit {width} bytes")
                 block = _block(keys[i : i + n], np.diff(bounds) + 1, closed, width)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.binary())})
+        pa.default_memory_pool().release_unused()
 
     write_records(ordered.mapInArrow(encode, "block binary"), "block", f"{path}/ids")
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 #: Bytes that are not blanks: anything but 0x20 and 0x09 to 0x0D.
 NOT_BLANK = np.ones(256, bool)
