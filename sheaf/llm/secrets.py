@@ -27,13 +27,20 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Tokens that are tested.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that are tested. "=" is padding at their end or stands between a name and its value.
+PADDING = "(?:=++(?![A-Za-z0-9+/_-]))?"
+TOKEN = "[A-Za-z0-9+/_-]{20,}" + PADDING
+#: A token with symbols of both base64 alphabets, and what it may be made of.
+BOTH = "[+/].*[_-]|[_-].*[+/]"
+PARTS = ("[A-Za-z0-9_-]{20,}" + PADDING, "[A-Za-z0-9+/]{20,}" + PADDING)
 #: Encodings by the smallest alphabet that holds the token, its symbols in the order of their values.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32lower", "^[a-z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", "^[0-9a-z]+=*$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("BASE36", "^[0-9A-Z]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
@@ -116,19 +123,34 @@ def tested_tokens(text: Column) -> Column:
 
     Letters of one case alone, and digits alone, are words and numbers, not codes.
     The three tests share a token, so their smallest p-value counts three times.
+    A token with symbols of both base64 alphabets is tested by its parts of either.
     """
-    spans = match_spans(text, TOKEN)
     encoding = lambda t: F.coalesce(
         *[F.when(t.rlike(pattern), F.lit(name)) for name, pattern, _ in ENCODINGS], F.lit("")
     )
     alphabet = lambda name: F.element_at(
         F.create_map(*[x for n, _, symbols in ENCODINGS for x in (F.lit(n), F.lit(symbols))]), name
     )
-    cut = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("t")
-        ),
+
+    def cut_out(of: Column, spans: Column, offset: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                (s["start"] + offset).alias("start"),
+                (s["end"] + offset).alias("end"),
+                F.substr(of, s["start"] + 1, s["end"] - s["start"]).alias("t"),
+            ),
+        )
+
+    cut = F.flatten(
+        F.transform(
+            cut_out(text, match_spans(text, TOKEN), F.lit(0)),
+            lambda s: F.when(
+                s["t"].rlike(BOTH),
+                # a part of plain letters and digits is one of both kinds
+                F.array_distinct(F.concat(*[cut_out(s["t"], match_spans(s["t"], part), s["start"]) for part in PARTS])),
+            ).otherwise(F.array(s)),
+        )
     )
     mixed = F.filter(cut, lambda s: s["t"].rlike("[0-9]") & s["t"].rlike("[A-Za-z]") | s["t"].rlike("[A-Z].*[a-z]|[a-z].*[A-Z]"))
     known = F.transform(
@@ -226,12 +248,28 @@ def _tagged(spans: Column, k: int) -> Column:
     )
 
 
+def _united(spans: Column) -> Column:
+    """Spans that overlap become one."""
+
+    def step(held: Column, s: Column) -> Column:
+        last = F.try_element_at(held, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(
+            (F.size(held) > 0) & (last["end"] > s["start"]),
+            F.concat(F.slice(held, 1, F.size(held) - 1), F.array(wider)),
+        ).otherwise(F.concat(held, F.array(s)))
+
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.aggregate(F.array_sort(plain), _none(), step)
+
+
 def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` of whole texts.
 
     Base kinds are matched leftmost without overlaps, each by itself. ``spans``
     adds ``random``: tokens of 20 characters or more that the battery can't tell
-    from random text and that no base span covers. Spans are kind:start:end in code
+    from random text and that no base span covers; parts of a token that overlap
+    are one span. Spans are kind:start:end in code
     points, end exclusive, by start and then kind, comma-joined; base_sha256 is
     that of the base spans alone.
 
@@ -252,7 +290,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
         F.coalesce("tokens", F.filter("tokens", lambda _: F.lit(False))),
         lambda t: (t["p"] > limit(t)) & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
     )
-    random = _tagged(random, 3)
+    random = _tagged(_united(random), 3)
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

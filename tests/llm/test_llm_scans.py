@@ -71,6 +71,35 @@ def test_battery_tells_words_from_codes(spark):
     assert sum(got[200 + i] + got[300 + i] for i in range(50)) == 0
 
 
+def test_tokens_after_names_and_of_other_alphabets(spark):
+    rng = random.Random(11)
+    draw = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    both = digits + lower + lower.upper()
+    made = {
+        0: lambda: ("AWS_SECRET_ACCESS_KEY=", draw(both + "+/", 40), ""),
+        1: lambda: ("sig=", draw(both, 24), ""),
+        2: lambda: ("key ", draw(digits + lower, 40), ""),
+        3: lambda: ("id:", draw(digits + lower.upper(), 64), ""),
+        4: lambda: ("a_b-c/", draw(both, 32), "/d-e_f"),
+        5: lambda: ("NAME=", draw(digits + lower, 64), ""),
+        6: lambda: ("X_Y=", draw(both + "+/", 31) + "a==", " b"),
+    }
+    pieces = {100 * k + i: make() for k, make in made.items() for i in range(30)}
+    known = [(1, "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (2, "sig=Zx9Qk3Lm2Vb8Nc7Tr5Yp1Hs6")]
+    docs = [(1000 + i, "".join(x)) for i, x in pieces.items()] + known
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[1].spans == "random:22:62" and got[2].spans == "random:4:28"
+    for k in made:
+        hits = 0
+        for i in range(100 * k, 100 * k + 30):
+            before, token, _ = pieces[i]
+            spans = [tuple(map(int, s.split(":")[1:])) for s in got[1000 + i].spans.split(",") if s]
+            assert len(spans) == len(set(spans)) and got[1000 + i].n_random <= 1
+            hits += any(a <= len(before) and b >= len(before + token) for a, b in spans)
+        assert hits >= 25, (k, hits)
+
+
 def test_no_secrets(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).collect() == []
 
