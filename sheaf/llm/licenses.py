@@ -7,6 +7,8 @@ most specific first; identifiers that a rule used are gone for later ones.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +114,25 @@ def sentence_ids(text: Column, table: Column) -> Column:
     return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
-def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def wrapped_ids(text: Column, table: Column, known: list[str]) -> Column:
+    """Identifiers of the known sentences in order, wherever lines and sentences end inside them.
+
+    A known sentence begins where a line or a sentence begins and ends where one
+    ends. Blank lines and comment marks normalise to nothing. Of sentences that
+    begin at one place the longest counts.
+    """
+    lines = F.split(F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n]+|\n", "$1\x01"), "\x01")
+    worded = F.filter(F.transform(lines, normalised), lambda line: line != "")
+    whole = F.concat(F.lit("|"), F.array_join(worded, "|"), F.lit("|"))
+    longest = sorted(known, key=len, reverse=True)
+    any_of = "|".join("[ |]".join(re.escape(w) for w in sentence.split(" ")) for sentence in longest)
+    found = F.regexp_extract_all(whole, F.lit(f"(?<=[|])(?:{any_of})(?=[|])"), F.lit(0))
+    return F.transform(found, lambda sentence: F.element_at(table, F.translate(sentence, "|", " ")))
+
+
+def scan_licenses(
+    docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple = RULES, wrapped: bool = False
+) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licenses`` of every row of ``docs`` (doc_id, text).
 
     sentence_ids: identifiers in the order of the text, comma-joined. licenses:
@@ -120,6 +140,10 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
     rule's sentences must follow each other among the known ones; what lies
     between them in the text does not count. A null or empty text has none.
     Repeated rows each have their line; other columns are left out.
+
+    wrapped: find sentences over several lines below a title or a copyright line
+    too, and those with a sentence end inside ("v. 2.0", "Foundation; either").
+    Without, lines are looked up one by one, as ``oracle_sql`` does.
     """
     by_text: dict[str, str] = {}
     for name, sentence in known.items():
@@ -127,7 +151,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tup
             raise ValueError(f"sentence {name} needs a plain identifier and a text of its own")
         by_text[sentence] = name
     table = F.create_map(*[F.lit(x) for pair in by_text.items() for x in pair])
-    ids = sentence_ids(F.col("_text"), table)
+    ids = wrapped_ids(F.col("_text"), table, list(by_text)) if wrapped and by_text else sentence_ids(F.col("_text"), table)
     found = settle(
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")),
         {"_ids": F.when(F.col("_text").rlike(HINT), ids).otherwise(F.array().cast("array<string>"))},

@@ -172,4 +172,4 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(licenses.oracle_sql())
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)

@@ -142,5 +142,87 @@ def test_rules_use_up_what_they_match(spark):
     assert got == {1: "AB", 2: "AB", 3: "B,AC"}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED.
+"""
+BSD_FILE = """Copyright (c) 2020, Some One
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_FILE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_FILE = """Some program
+Copyright (C) 2020 Some One
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+MPL_FILE = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_whole_license_files(spark):
+    from sheaf.llm import queries
+
+    files = [(MIT_FILE, "MIT", 2), (BSD_FILE, "BSD-3-Clause", 4), (APACHE_FILE, "Apache-2.0", 5), (GPL_FILE, "GPL-2.0-or-later", 1)]
+    files += [(MPL_FILE, "MPL-2.0", 1), ("I was\nreleased under the\nMIT license last year", "", 0)]
+    files += [("\n".join("# " + line for line in text.split("\n")).replace("\n", end), name, n) for text, name, n in files for end in ("\n", "\r\n")]
+    docs = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(files)], DOCS)
+    table, queries.table = queries.table, lambda *_: docs
+    try:
+        got = {r.doc_id: (r.licenses, r.n_sentences) for r in QUERIES["op3_licenses"](spark, "").collect()}
+    finally:
+        queries.table = table
+    assert got == {i: (name, n) for i, (_, name, n) in enumerate(files)}
+
+
+def test_license_query_has_the_results_of_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = duck.sql(licenses.oracle_sql()).fetchall()
+    assert sorted(map(tuple, QUERIES["op3_licenses"](spark, folder).collect())) == sorted(want)
+
+
 def test_no_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
