@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,8 +35,10 @@ REGION = 4_000_000
 #: Documents that are compared directly.
 LEAF = 256
 PIVOTS = 4
-#: Times that a region is cut over the cluster; what is still larger is one task's work.
+#: Times that a region is cut over the cluster; what is still larger is joined by pairs of blocks.
 CUTS = 4
+#: Cells of a cut may hold so many times the region; above it, pairs of blocks take their place.
+OVERLAP = 1.5
 #: Buckets of the histogram that bounds how far two sets can agree.
 BUCKETS = 1024
 SALTS = 16
@@ -362,10 +364,12 @@ def join_regions(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("region").applyInArrow(solve, "a long, b long")
 
 
-def cut_regions(rows: DataFrame, rule: Rule, cut: int) -> tuple[DataFrame, DataFrame]:
-    """Cut regions by pivots over the cluster: links to the pivots, and the rows of the cells.
+def cut_regions(rows: DataFrame, rule: Rule, cut: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cut regions by pivots over the cluster: links to the pivots, the rows of the cells, and those of pairs of blocks.
 
     A region that is one component after its pivots' links is done and left out.
+    One whose cells overlap too much, or that is still here at the last cut, goes
+    into pairs of blocks, which are not cut again.
     """
     dealt = F.pmod(F.xxhash64(F.lit(cut), F.col("set")), F.lit(PIVOTS))
     pivots = rows.groupBy("region", dealt.alias("_k")).agg(
@@ -390,22 +394,64 @@ def cut_regions(rows: DataFrame, rule: Rule, cut: int) -> tuple[DataFrame, DataF
                 near = min(far) + 2 * rule.radius + 1e-9
                 done = any(p["set"] == row["set"] for p in row["pivots"])
                 cells = [] if done else [f"{row['region']}.{k}" for k, d in enumerate(far) if d <= near]
-                out.append((row["region"], row["set"], row["grams"], links, cells))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()))
+                out.append((row["region"], row["set"], row["grams"], links, cells, far[0]))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["region", "set", "grams", "links", "cells"],
+                names=["region", "set", "grams", "links", "cells", "far"],
             )
 
-    schema = "region string, set long, grams binary, links array<long>, cells array<string>"
+    schema = "region string, set long, grams binary, links array<long>, cells array<string>, far double"
     compared = stored(met.select("region", "set", "grams", "pivots").mapInArrow(compare, schema))
     edges = compared.select(F.col("set").alias("a"), F.explode("links").alias("b")).where("a <> b")
     open_regions = _open(compared)
-    cells = compared.join(open_regions, "region", "left_semi").select(
+    # a pivot is in no cell: it has met all
+    opened = compared.join(open_regions, "region", "left_semi").where(F.size("cells") > 0)
+    weight = F.octet_length("grams") / 8
+    shape = opened.groupBy("region").agg(F.sum(weight).alias("_all"), F.sum(weight * F.size("cells")).alias("_sent"))
+    crowded = stored(shape.where((F.col("_sent") > OVERLAP * F.col("_all")) | F.lit(cut == CUTS)).select("region"))
+    cells = opened.join(F.broadcast(crowded), "region", "left_anti").select(
         F.explode("cells").alias("region"), "set", "grams"
     )
-    return edges, cells
+    return edges, cells, block_pairs(opened.join(F.broadcast(crowded), "region", "left_semi"), rule)
+
+
+def block_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``region, set, grams`` of pairs of blocks of ``rows`` (region, set, grams, far): linked rows meet in one of them.
+
+    The distance from a pivot, ``far``, differs by no more than the radius between
+    linked rows, so bands of that width link with themselves and the next. A band
+    is dealt into blocks of about a third of ``REGION``, and every two blocks of
+    a band or of neighbouring bands are a region. Nothing is left out; a row is sent
+    to as many regions as there are blocks in reach.
+    """
+    banded = rows.withColumn("_band", F.floor(F.col("far") / (rule.radius + 1e-9)).cast("int"))
+    blocks = banded.groupBy("region", "_band").agg(
+        F.ceil(F.sum(F.octet_length("grams") / 8) / (REGION / 3)).cast("int").alias("_n")
+    )
+    # one row a region that was too large, with a few bands
+    counts = blocks.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("_band", "_n"))).alias("_counts"))
+    band, region, k = F.col("_band"), F.col("region"), F.col("_k")
+
+    def numbers(of: Column) -> Column:
+        n = F.coalesce(F.try_element_at("_counts", of), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    own = numbers(band)
+    dealt = banded.join(F.broadcast(counts), "region").withColumn(
+        "_k", F.pmod(F.xxhash64(F.lit("block"), F.col("set")), F.size(own)).cast("int")
+    )
+    pairs = F.concat(
+        F.transform(
+            # a pair of blocks holds the links inside each
+            F.filter(own, lambda other: (other != k) | (F.size(own) == 1)),
+            lambda other: F.concat_ws("-", region, band, F.least(k, other), F.greatest(k, other)),
+        ),
+        F.transform(numbers(band + 1), lambda other: F.concat_ws("/", region, band, k, other)),
+        F.transform(numbers(band - 1), lambda other: F.concat_ws("/", region, band - 1, other, k)),
+    )
+    return dealt.select(F.explode(pairs).alias("region"), "set", "grams")
 
 
 def _open(compared: DataFrame) -> DataFrame:
@@ -458,17 +504,16 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
         rows = stored(rows)
         big, rows = rows.join(large, "region", "left_semi"), rows.join(large, "region", "left_anti")
         for cut in range(1, CUTS + 1):
-            edges, cells = cut_regions(big, rule, cut)
+            edges, cells, pairs = cut_regions(big, rule, cut)
             found.append(stored(edges))
             cells = stored(cells)
+            rows = rows.unionByName(stored(pairs))
             weigh = cells.groupBy("region").agg(F.sum(F.octet_length("grams") / 8).alias("_weight"))
             large = stored(weigh.where(F.col("_weight") > REGION).select("region"))
             rows = rows.unionByName(cells.join(large, "region", "left_anti"))
             big = cells.join(large, "region", "left_semi")
             if large.isEmpty():
                 break
-        else:
-            rows = rows.unionByName(big)
     links = join_regions(rows, rule)
     for more in found:
         links = links.unionByName(more)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import decontamination, jaccard, quality, repeats
 from sheaf.llm.queries import QUERIES
@@ -143,6 +144,25 @@ def test_large_regions_are_cut_by_pivots(spark, monkeypatch):
     assert join(spark, rows, 4, 85) == nulls_last(linked(rows, 4, 85))
 
 
+def test_regions_that_pivots_cannot_separate(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION", 6000)
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    weights = []
+
+    def join_regions(rows, rule, plain=jaccard.join_regions):
+        weights.extend(r[1] for r in rows.groupBy("region").agg(F.sum(F.octet_length("grams") / 8)).collect())
+        return plain(rows, rule)
+
+    monkeypatch.setattr(jaccard, "join_regions", join_regions)
+    rng, vocabulary, _ = texts(2)
+    form = [rng.choice(vocabulary) for _ in range(100)]
+    found = [" ".join(form[:50] + [rng.choice(vocabulary) for _ in range(13)] + form[50:]) for _ in range(150)]
+    found += [" ".join(w.split()[:-k]) for k, w in enumerate(found[::6], 1) if k < 12]
+    rows = list(enumerate(found))
+    assert join(spark, rows, 4, 85) == nulls_last(linked(rows, 4, 85))
+    assert 0 < max(weights) <= 6000 and sum(weights) < 12 * 161 * 110
+
+
 def test_region_finds_all_components():
     rng, vocabulary, found = texts(7)
     sets = [{hash(g) & (2**63 - 1) for g in grams(t, 4)} for t in found]
