@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontamination, jaccard, licenses, mixing, quality, repeats, secrets, sharding, tokens, warc
+from sheaf.llm import (
+    compression,
+    decontamination,
+    divergence,
+    jaccard,
+    licenses,
+    mixing,
+    periods,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    tokens,
+    warc,
+)
 from sheaf.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +187,98 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(licenses.oracle_sql())
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` of which every tenth, by the hash of doc_id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    held = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    n = F.size("_words")
+    some = (F.col("_h") % 10 == 0) & (n > 0)
+    g = F.floor(F.col("_h") / 10)
+    a = F.col("_a")
+    held = held.withColumn("_a", F.when(some, g % n)).withColumn(
+        "_p", F.when(some, 1 + F.floor((n - a) / (3 + g % 8)).cast("long"))
+    )
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % F.col("_p")).cast("int")
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", place(i)))
+    text = F.when(some, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return held.withColumn("text", text).drop("_h", "_words", "_a", "_p")
+
+
+@query()
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.collapse_runs(docs).drop("text")
+    # the greatest length / period, compared as whole numbers; of equal ones the first
+    higher = lambda best, r: r.length * best.period > best.length * r.period
+    best = F.when(
+        F.size("runs") > 0, F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(higher(b, r), r).otherwise(b))
+    )
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    digest = lambda c: F.sha2(c, 256)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+AUDIT_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), words AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d
+), counted AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM words GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n) AS total FROM counted GROUP BY ALL HAVING sum(docs) >= 30
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), sized AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n
+  FROM groups g LEFT JOIN (SELECT lang, source, term, n FROM counted JOIN kept USING (lang, term)) c USING (lang, source)
+  GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 5)) // (l.n + 5 * l.v) AS q
+  FROM sized s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, 0::HUGEINT AS f FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL
+  SELECT a.lang, a.source, b.source, abs(a.p - b.p) FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, sum(f)::BIGINT AS value FROM pairs GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query(AUDIT_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = table(spark, sf_dir, "labels").where(~held_out)
+    scored = compression.score_texts(docs, compression.fit_classifier(docs, known))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
