@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces a worker remembers; then it starts anew.
+#: Pieces a worker remembers; beyond, it forgets the half it has met least.
 REMEMBERED = 300_000
 
 #: How the word vocabulary cuts a lower-case text (a fixed value of its file).
@@ -27,9 +27,17 @@ APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t-\r \p{L}\p{N}]+)"
 #: Latin text: nothing to normalize, and lower case and classes as in every Unicode version.
 PLAIN = r"^[\t-\r -~\x{A1}-\x{12F}\x{131}-\x{24F}]*$"
 
+#: One piece of Latin text by PIECE, for Arrow.
+ONE = r"^('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \p{L}\p{N}]+)$"
+
 _loaded: dict[str, "Encoder"] = {}
 
 
+def _strings(held: pa.Array) -> list[str]:
+    # several times as fast as to_pylist
+    return held.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """A tokenizer file with the pieces met so far."""
 
@@ -41,12 +49,19 @@ class Encoder:
         self.special = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         #: whether the file cuts texts as PIECE says; else a text is one piece
         self.by_piece = self._cuts_like_piece(path)
-        self._forget()
+        self.known: dict[str, int] = {}
+        #: ids of all pieces met, one after the other, where each begins, and how often each was met
+        self.flat, self.at, self.met = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        #: ids of all pieces met, one after the other, and where each begins
-        self.flat, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """Most pieces are met once; those met often stay, their counts halved so that what comes up now can replace them."""
+        sizes = np.diff(self.at)
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: REMEMBERED // 2])
+        pieces = list(self.known)
+        self.known = {pieces[old]: new for new, old in enumerate(keep.tolist())}
+        ends = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.at[keep] - ends[:-1], sizes[keep])]
+        self.at, self.met = ends, self.met[keep] // 2
 
     @staticmethod
     def _cuts_like_piece(path: str) -> bool:
@@ -77,10 +92,34 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 10_000):
             part = pieces[i : i + 10_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            part, flat, sizes = self._ids_of(part)
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.flat = np.concatenate([self.flat, np.array([x for own in ids for x in own], np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            self.met = np.concatenate([self.met, np.zeros(len(part), np.int64)])
+
+    def _ids_of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in another order, the ids of all, and how many each has.
+
+        What is one piece for the tokenizer too can be asked for side by side in one
+        text, with a blank between; the ids' word numbers tell the pieces apart.
+        """
+        held = pa.array(pieces, pa.string())
+        single = pc.match_substring_regex(held, ONE)
+        single = pc.and_(single, pc.match_substring_regex(held, PLAIN))
+        single = pc.and_(single, pc.invert(pc.match_substring(held, self.special or "\x00"))).to_numpy(zero_copy_only=False)
+        together = _strings(held.filter(pa.array(single))) if self.by_piece else []
+        apart = _strings(held.filter(pa.array(~single))) if self.by_piece else pieces
+        ids, sizes = [], []
+        if together:
+            found = self.tokenizer.encode(" ".join(together), add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(together)))
+        if apart:
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)]
+            ids.append(np.array([x for own in each for x in own], np.uint32))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        return together + apart, np.concatenate(ids), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in one array, and where each text begins and ends in it."""
@@ -88,9 +127,10 @@ class Encoder:
             self._forget()
         flat, bounds = self._cut(texts.cast(pa.large_string()).fill_null(""))
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _strings(coded.dictionary)
         self._learn([piece for piece in distinct if piece not in self.known])
         place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.met[place] += 1
         sizes = self.at[place + 1] - self.at[place]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         own = self.flat[np.arange(ends[-1]) + np.repeat(self.at[place] - ends[:-1], sizes)]
