@@ -85,6 +85,10 @@ def gram_sets(texts: Texts, n: int) -> list[np.ndarray]:
     return out
 
 
+#: A word, as a Java regular expression.
+A_WORD = r"[^\x20\x09-\x0D]"
+
+
 def set_hash(grams: np.ndarray) -> np.uint64:
     return mixed(mixed(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams)))[0]
 
@@ -141,6 +145,11 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_h1, _h2``, 128 bits of the text: with doc_id they name a row up to rows equal in both."""
+    return docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit("second"), "text")})
+
+
 def with_sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``set``, the set's hash, null for the empty set."""
     where = docs.columns.index("text")
@@ -329,7 +338,7 @@ REGION_ROW = "region string, set long, grams binary"
 
 
 def member_sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """``region, set, grams`` of ``members`` (doc_id as _id, set, region), from their texts."""
+    """``region, set, grams`` of ``members`` (_rep: doc_id and hashes of a text, set, region), from that text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,7 +356,10 @@ def member_sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["region", "set", "grams"]
                 )
 
-    joined = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rep = members.select("region", "set", F.col("_rep.doc_id").alias("_id"), F.col("_rep._h1").alias("_r1"), F.col("_rep._h2").alias("_r2"))
+    joined = named(docs.select("doc_id", "text")).join(
+        rep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_r1")) & (F.col("_h2") == F.col("_r2"))
+    )
     return joined.select("region", "set", "text").mapInArrow(read, REGION_ROW).dropDuplicates(["region", "set"])
 
 
@@ -486,16 +498,24 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     reachable by links; null ids count only where there is no other. Rows that
     repeat a doc_id each have their line. Grams are 64-bit hashes of their words.
     """
+    return named_components(docs, rule).drop("_h1", "_h2")
+
+
+def named_components(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The same, with the names of the rows' texts."""
     docs = docs.select("doc_id", "text")
-    sets = stored(with_sets(docs, rule).drop("text"), "sets")
+    sets = stored(with_sets(named(docs), rule).drop("text"), "sets")
     known = sets.where("set IS NOT NULL")
     classes = known.groupBy("set").agg(
-        F.min("doc_id").alias("_id"), F.first("n_shingles").alias("_size"), F.count("*").alias("_n")
+        F.min("doc_id").alias("_id"),
+        F.min(F.struct("doc_id", "_h1", "_h2")).alias("_rep"),
+        F.first("n_shingles").alias("_size"),
+        F.count("*").alias("_n"),
     )
     regions = components(candidate_edges(docs, rule)).select(
         F.col("node").alias("set"), F.col("root").cast("string").alias("region")
     )
-    members = stored(classes.join(regions, "set").select("set", "region", "_id", "_size"))
+    members = stored(classes.join(regions, "set").select("set", "region", "_rep", "_size"))
     weights = members.groupBy("region").agg(F.sum("_size").alias("_weight"))
     rows = member_sets(docs, members.drop("_size"), rule)
     large = stored(weights.where(F.col("_weight") > REGION).select("region"))
@@ -530,7 +550,7 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     )
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     return sets.join(answer, (sets["set"] == answer["_set"]) & (salt == answer["_salt"]), "left").select(
-        "doc_id", "n_shingles", "set", F.coalesce("_component", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "set", F.coalesce("_component", "doc_id").alias("component_id"), "_h1", "_h2"
     )
 
 
@@ -542,17 +562,18 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     stay both, as do rows without a doc_id if none of their component has one.
     """
     names = docs.columns
-    linked = link_components(docs.select("doc_id", "text"), rule)
-    kept = linked.where(F.col("set").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("set").alias("_kept_set")).distinct()
     own = [f"_own{k}" for k in range(len(names))]
     # names of their own keep added columns apart from any that docs has
-    plain = docs.toDF(*own).withColumns({"doc_id": F.col(own[names.index("doc_id")]), "text": F.col(own[names.index("text")])})
-    joined = with_sets(plain, rule).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("set") == F.col("_kept_set")), "left"
-    )
-    alike = F.row_number().over(Window.partitionBy("doc_id", "set").orderBy("n_shingles"))
-    chosen = joined.withColumn("_alike", F.when(F.col("set").isNotNull(), alike).otherwise(1)).where(
-        F.col("set").isNull() | (F.col("_kept_set").isNotNull() & (F.col("_alike") == 1))
+    plain = docs.toDF(*own).withColumnsRenamed({own[names.index(c)]: c for c in ("doc_id", "text")})
+    linked = named_components(plain, rule).where(F.col("set").isNotNull())
+    kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "set")
+    # rows of one doc_id and set may differ in blanks: the text of the smallest hashes
+    kept = kept.agg(F.min(F.struct("_h1", "_h2")).alias("_text")).select(
+        F.col("doc_id").alias("_kept_id"), F.col("_text._h1").alias("_k1"), F.col("_text._h2").alias("_k2")
     )
-    return chosen.select(*own).toDF(*names)
+    worded = F.coalesce(F.col("text").rlike(A_WORD), F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    # whole rows move once; equal ones are one row before they do
+    one = named(plain.where(worded)).dropDuplicates(["doc_id", "_h1", "_h2"]).join(kept, same, "left_semi")
+    order = [c if c in ("doc_id", "text") else own[k] for k, c in enumerate(names)]
+    return one.select(*order).unionAll(plain.where(~worded).select(*order)).toDF(*names)
