@@ -61,7 +61,7 @@ _CS_NOT_TYPE = (
 )
 _CS_HEAD = rf"{LINE_START}(?:(?:{_CS_WORDS})[ \t]++)*+{_CS_NOT_TYPE}"
 _CS_TYPE = r"\w[\w.]*+(?:<[^{}()=;\n]*>)?+[\[\],?]*+[ \t]++"
-_SWIFT_HEAD = rf"{LINE_START}(?:@?\w++(?:\([^)\n]*+\))?+[ \t]++){{0,16}}?"
+_SWIFT_HEAD = rf"{LINE_START}(?:(?!(?:func|var)\b)@?\w++(?:\([^)\n]*+\))?+[ \t]++)*+"
 _KT_WORDS = (
     "private|protected|internal|public|open|override|abstract|final|inline|lateinit|const|suspend|operator|external"
 )

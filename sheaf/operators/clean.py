@@ -45,8 +45,10 @@ def clean(
     if options.remove_accessors or any(statements.values()):
         marked = S.mark_text("_mask", language, options.remove_accessors, statements)
         out = out.selectExpr(*df.columns, "_fine", f"IF(_fine, {marked}, NULL) AS _marked")
-        wrapped = S.wrap_spans("_marked", language, options.remove_accessors, statements)
-        out = out.selectExpr(*df.columns, "_fine", f"IF({S.has_start('_marked')}, {wrapped}, NULL) AS _wrapped")
+        shrunk = S.shrink_text("_marked", language, options.remove_accessors)
+        out = out.selectExpr(*df.columns, "_fine", f"IF({S.has_start('_marked')}, {shrunk}, NULL) AS _shrunk")
+        wrapped = S.wrap_spans("_shrunk", language, options.remove_accessors, statements)
+        out = out.selectExpr(*df.columns, "_fine", f"{wrapped} AS _wrapped")
         cut = f"IF({S.has_span('_wrapped')}, {S.drop_spans(content, language, '_wrapped')}, {content})"
         out = out.selectExpr(*rest, "_fine", f"{cut} AS {content}")
 

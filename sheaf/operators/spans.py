@@ -7,15 +7,18 @@ over whole texts:
 1. *mask*: strings are emptied and comments dropped, so brackets left are code;
 2. *mark*: a marker character goes in front of each line that opens something;
 3. *shrink*: all but brackets, line ends and markers becomes one character per run;
-4. *wrap*: each span is enclosed in two more markers, nested brackets matched;
-5. *cut*: lines inside a wrapped span are left out of the original text.
+4. *tag*: each bracket is followed by its depth, the same for both of a pair;
+5. *wrap*: each span is enclosed in two more markers; a pair ends where its depth comes back;
+6. *cut*: lines inside a wrapped span are left out of the original text.
 
-Only texts with a marker go past step 2, only texts with a span past step 4.
+Only texts with a marker go past step 2, only texts with a span past step 5. No
+step has a limit on depth, on the lines above an accessor or on a line's length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import count
 
 from sheaf.functions import rules as R
 from sheaf.functions.lexing import LEXICONS, MASKED, logical_line_regex, mask_regex
@@ -23,13 +26,13 @@ from sheaf.functions.lexing import LEXICONS, MASKED, logical_line_regex, mask_re
 # marker characters, from a private block of Unicode that code does not use
 (STATEMENT, LINE, PLAIN, RETURNS, ASSIGNS, ACCESSES, ATTACHED, LEAD, PROPERTY) = map(chr, range(0xE000, 0xE009))
 (HAS_RETURN, HAS_ACCESSOR, GOES_ON, OPEN, CLOSE, INSIDE, HOLD) = map(chr, range(0xE009, 0xE010))
-ANY_MARKER = "\ue000-\ue00f"
+# in front of the first of the lines above an accessor
+RUN = chr(0xE010)
+ANY_MARKER = "\ue000-\ue010"
 STARTS = "\ue000-\ue006"
 
-# brackets nested deeper than this inside one span leave that span in place
-MAX_DEPTH = 64
-# of the lines directly above an accessor at most this many go with it
-MAX_LEADS = 64
+# brackets that are folded one by one into a string before the strings are joined
+CHUNK = 128
 
 
 def quote(text: str) -> str:
@@ -59,63 +62,146 @@ def mask_text(text: str, language: str) -> str:
     return by_language(language, masked)
 
 
-def is_balanced(masked: str, language: str) -> str:
-    """Whether every bracket of the masked text has a partner, by count, and no comment is left in part."""
+def _flat(levels: int) -> str:
+    """Balanced brackets nested at most ``levels`` deep, kinds told apart."""
+    inner = "(?!)"
+    for _ in range(levels):
+        inner = "|".join(rf"\{o}(?:{inner})*+\{c}" for o, c in ("()", "[]", "{}"))
+    return inner
+
+
+def _paired(brackets: str) -> str:
+    """Whether a text of brackets only pairs up, kind by kind, however deep.
+
+    Pairs of up to three levels are left out three times; ordinary code is done
+    then. What is left is merged two neighbours at a time: a stretch is known by
+    the closing brackets it needs from the left (``c``) and those it waits for on
+    the right (``o``, innermost first), and neighbours cancel where these agree.
+    """
+    left = brackets
+    for _ in range(3):
+        left = sub(left, _flat(3), "")
+    wait = "translate(x, '([{', ')]}')"
+    leaf = f"IF(x IN ('(', '[', '{{'), named_struct('c', '', 'o', {wait}), named_struct('c', x, 'o', ''))"
+    k = "least(length(l.o), length(r.c))"
+    none = "named_struct('c', '', 'o', '')"
+    # a stretch that can't be paired needs a bracket that there is none of
+    merge = f"""IF(left(l.o, {k}) = left(r.c, {k}),
+        named_struct('c', concat(l.c, substring(r.c, {k} + 1)), 'o', concat(r.o, substring(l.o, {k} + 1))),
+        named_struct('c', '!', 'o', '!'))"""
+    pair = f"transform(array(struct(a[2 * i] AS l, coalesce(get(a, 2 * i + 1), {none}) AS r)), p -> {merge})[0]"
+    pair = pair.replace("l.", "p.l.").replace("r.", "p.r.")
+    halved = f"transform(sequence(0, (size(a) - 1) div 2), i -> {pair})"
+    tree = f"""aggregate(sequence(0, length(bin(length(rest)))),
+        transform(filter(split(rest, ''), x -> x <> ''), x -> {leaf}),
+        (a, _) -> IF(size(a) < 2, a, {halved}),
+        a -> a[0].c = '' AND a[0].o = '')"""
+    # bound once: the text is used several times
+    return f"transform(array({left}), rest -> rest = '' OR {tree})[0]"
 
-    def count(char: str) -> str:
-        return f"length(replace({masked}, '{char}', ''))"
 
-    even = " AND ".join(f"{count(o)} = {count(c)}" for o, c in ("()", "[]", "{}"))
+def is_balanced(masked: str, language: str) -> str:
+    """Whether every bracket of the masked text has a partner of its kind in the right place, and no comment is left in part."""
+    paired = _paired(sub(masked, r"[^()\[\]{}]++", ""))
     loose = ", ".join(quote(name) for name, lex in LEXICONS.items() if not lex.balanced)
     nested = f"{language} IN ('swift', 'kotlin') AND (instr({masked}, '/*') > 0 OR instr({masked}, '*/') > 0)"
-    return f"({language} IN ({loose}) OR ({even} AND NOT ({nested})))"
+    return f"({language} IN ({loose}) OR ({paired} AND NOT ({nested})))"
+
+
+def tag_brackets(text: str) -> str:
+    """The text with each bracket's depth and a comma behind it; the brackets of a pair have the same.
+
+    A chunk of brackets is folded into one string and the depth handed on, so the
+    work stays in proportion to the text.
+    """
+    ends = "right(x, 1)"
+    fold = f"""aggregate(chunk, named_struct('d', a.d, 's', ''), (b, x) -> CASE
+        WHEN {ends} IN ('(', '[', '{{') THEN named_struct('d', b.d + 1, 's', concat(b.s, x, b.d + 1, ','))
+        WHEN {ends} IN (')', ']', '}}') THEN named_struct('d', b.d - 1, 's', concat(b.s, x, b.d, ','))
+        ELSE named_struct('d', b.d, 's', concat(b.s, x)) END)"""
+    chunks = f"transform(sequence(0, (size(t) - 1) div {CHUNK}), k -> slice(t, k * {CHUNK} + 1, {CHUNK}))"
+    step = f"transform(array({fold}), f -> named_struct('d', f.d, 's', concat(a.s, array(f.s))))[0]"
+    whole = f"aggregate({chunks}, named_struct('d', 0, 's', cast(array() AS array<string>)), (a, chunk) -> {step}, a -> array_join(a.s, ''))"
+    pieces = f"split({text}, {quote(r'(?<=[()\[\]{}])')}, -1)"
+    return f"transform(array({pieces}), t -> {whole})[0]"
+
+
+def untag_brackets(text: str) -> str:
+    return sub(text, r"([()\[\]{}])-?\d++,", "$1")
 
 
-def _bracketed(inner: str) -> str:
-    """A balanced bracket pair around what ``inner`` or further pairs match."""
-    pair = "(?!)"
-    for _ in range(MAX_DEPTH):
-        pair = rf"[(\[{{](?:{inner}|{pair})*+[)\]}}]"
-    return pair
+_number = count()
+
+
+def _pair(opens: str = r"(\[{", closes: str = r")\]}") -> str:
+    """A bracket of tagged text up to its partner: the next closing one of the same depth."""
+    depth = f"d{next(_number)}"
+    return rf"[{opens}](?<{depth}>-?\d++,)(?:[^)\]}}]++|[)\]}}](?!\k<{depth}>))*+[{closes}]\k<{depth}>"
 
 
-PAIR = _bracketed(r"[^()\[\]{}]++")
-CURLY_PAIR = rf"\{{(?:[^()\[\]{{}}]++|{PAIR})*+\}}"
-ROUND_PAIR = rf"[(\[](?:[^()\[\]{{}}]++|{PAIR})*+[)\]]"
 END = r"(?=\n|\z)"
 
+
 # bodies over shrunken text: up to a closing brace or semicolon at a line end, or to the end of the line;
 # none runs into the next start at its own depth, so a text full of unfinished starts is read once
-BLOCK_BODY = (
-    rf"(?:[^()\[\]{{}};{STARTS}]++|{ROUND_PAIR}|{CURLY_PAIR}(?![;,]*+(?:\n|\z))|;(?!\n|\z))*+(?:{CURLY_PAIR}[;,]*+|;){END}"
-)
-LINE_BODY = rf"(?:[^()\[\]{{}}\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+{END}"
-LEADS = rf"(?:{LEAD}[^\n]*+\n++){{0,{MAX_LEADS}}}+"
-SEMICOLON_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};{STARTS}]++|{PAIR})*+;{END}"
-LINE_STATEMENT = rf"{STATEMENT}(?:[^()\[\]{{}};\n{GOES_ON}]++|{PAIR}|{GOES_ON}\n?+)*+;?+{END}"
+def _block_body() -> str:
+    curly = lambda: _pair(r"{", r"}")
+    return (
+        rf"(?:[^()\[\]{{}};{STARTS}]++|{_pair(r'(\[', r')\]')}|{curly()}(?![;,]*+(?:\n|\z))|;(?!\n|\z))*+"
+        rf"(?:{curly()}[;,]*+|;){END}"
+    )
+
+
+def _line_body() -> str:
+    return rf"(?:[^()\[\]{{}}\n{GOES_ON}]++|{_pair()}|{GOES_ON}\n?+)*+{END}"
+
+
+def _semicolon_statement() -> str:
+    return rf"{STATEMENT}(?:[^()\[\]{{}};{STARTS}]++|{_pair()})*+;{END}"
+
+
+def _line_statement() -> str:
+    return rf"{STATEMENT}(?:[^()\[\]{{}};\n{GOES_ON}]++|{_pair()}|{GOES_ON}\n?+)*+;?+{END}"
+
+
+# a run of lines above an accessor is only looked at from its first line on
+LEADS = rf"(?:{RUN}(?:{LEAD}[^\n]*+\n++)++)?+"
 
 NEEDS = {None: PLAIN, R.RETURN: RETURNS, R.ASSIGN: ASSIGNS, R.ACCESSOR: ACCESSES}
 ACCESSOR_WORD = rf"(?:^[{ANY_MARKER}]*|[{{;}}])[ \t]*(?:[a-z]+[ \t]+)?(?:get|set|init)\b"
 
 
-def _indented_accessors() -> str:
-    """Python accessors on masked text: decorators, header, and every deeper line below."""
-    line = rf"(?:[^()\[\]{{}}\n]++|{PAIR})*+"
-    decorator = rf"@{line}\n(?:[ \t\r]*+\n)*+\k<ind>"
-    header = (
-        rf"(?:(?=(?:{decorator}){{0,{MAX_LEADS}}}?@property\b)(?:{decorator}){{1,{MAX_LEADS}}}+(?:async[ \t]+)?def\b"
-        rf"|(?:{decorator}){{0,{MAX_LEADS}}}+(?:async[ \t]+)?def[ \t]+[gs]et_)"
+def _indented_accessors(masked: str) -> str:
+    """Masked text with Python accessors wrapped: decorators, header, and every deeper line below."""
+
+    def line() -> str:
+        return rf"(?:[^()\[\]{{}}\n]++|{_pair()})*+"
+
+    def decorator(indent: str) -> str:
+        return rf"@{line()}\n(?:[ \t\r]*+\n)*+\k<{indent}>"
+
+    def deeper(indent: str) -> str:
+        return rf"{line()}(?:\n(?:[ \t\r]*+\n)*+\k<{indent}>[ \t]++(?=[^ \t\r\n]){line()})*+"
+
+    define = r"(?:async[ \t]+)?def"
+    is_property = rf"(?=(?:(?!@property\b){decorator('own')})*+@property\b)"
+    decorated = (
+        rf"{RUN}(?<own>[ \t]*+)(?:{is_property}(?:{decorator('own')})++{define}\b"
+        rf"|(?:{decorator('own')})++{define}[ \t]+[gs]et_){deeper('own')}"
     )
-    deeper = rf"\n(?:[ \t\r]*+\n)*+\k<ind>[ \t]++(?=[^ \t\r\n]){line}"
-    return rf"(?dm)^(?<ind>[ \t]*+){header}{line}(?:{deeper})*+"
+    bare = rf"(?<bare>[ \t]*+){define}[ \t]+[gs]et_{deeper('bare')}"
+    runs = sub(tag_brackets(masked), rf"(?dm)^(?<ind>[ \t]*+)(?:{decorator('ind')})++", f"{RUN}$0")
+    wrapped = sub(runs, f"(?dm)^(?:{decorated}|{bare})", f"{OPEN}$0{CLOSE}")
+    wrapped = f"replace({untag_brackets(wrapped)}, '{RUN}', '')"
+    return f"IF({matches(masked, r'@property\b|def[ \t]+[gs]et_')}, {wrapped}, {masked})"
 
 
 # a statement below one of these is its whole body: an empty statement has to stay in its place
-BODY_OF = r"(?<=(?:\)|\belse|\bdo)[ \t\r]{0,64}\n)"
+BODY_OF = rf"(?d)(?:\)|\b(?:else|do))[ \t\r]*+\n(?={STATEMENT})"
 # where lines need no semicolon the line above must be seen to be a header
 BODY_OF_HEADER = (
-    r"(?<=(?:^|\n)[ \t]{0,200}(?:\}[ \t]{0,8})?(?:else[ \t]{1,8})?(?:if|for|while)\b[^\n]{0,2000}\)[ \t\r]{0,64}\n"
-    r"|\b(?:else|do)[ \t\r]{0,64}\n)"
+    r"(?dm)(?:^[ \t]*+(?:\}[ \t]*+)?+(?:else[ \t]++)?+(?:if|for|while)\b(?:[^\n)]++|\)(?![ \t\r]*+\n))*+\)"
+    rf"|\b(?:else|do))[ \t\r]*+\n(?={STATEMENT})"
 )
 HEADERS = {"java": BODY_OF, "cpp": BODY_OF, "csharp": BODY_OF, "php": BODY_OF}
 HEADERS |= dict.fromkeys(("javascript", "typescript", "kotlin"), BODY_OF_HEADER)
@@ -133,7 +219,7 @@ def mark_text(masked: str, language: str, accessors: bool, statements: Mapping[s
         text = masked
         if accessors and rule.accessors:
             if rule.blocks == "indent":
-                text = sub(text, _indented_accessors(), f"{OPEN}$0{CLOSE}")
+                text = _indented_accessors(text)
             else:
                 for need in dict.fromkeys(a.needs for a in rule.accessors):
                     headers = [a.header for a in rule.accessors if a.needs == need and not a.attached]
@@ -147,7 +233,7 @@ def mark_text(masked: str, language: str, accessors: bool, statements: Mapping[s
         plain = [p for p in starts if p not in whole]
         text = _mark(text, STATEMENT, plain)
         if plain and name in HEADERS:
-            text = sub(text, f"(?dm)^{HEADERS[name]}(?={STATEMENT})", HOLD)
+            text = sub(text, HEADERS[name], f"$0{HOLD}")
         if text != masked:
             branches[name] = text
     return by_language(language, branches)
@@ -172,36 +258,42 @@ def _shrink(text: str, name: str, accessors: bool) -> str:
         text = sub(text, f"(?d){R.GOES_ON}", f"$0{GOES_ON}")
     equals = "=" if R.ASSIGN in needs else ""
     code = rf"[^\n()\[\]{{}};{equals}{ANY_MARKER} \t\r]"
-    return sub(text, rf"[ \t\r]++|({code}){code}*+", "$1")
+    text = sub(text, rf"[ \t\r]++|({code}){code}*+", "$1")
+    return sub(text, rf"(?:{LEAD}[^\n]*+\n++)++", f"{RUN}$0") if accessors and rule.lead else text
+
+
+def shrink_text(marked: str, language: str, accessors: bool) -> str:
+    """Marked text reduced to what spans depend on, brackets tagged."""
+    return tag_brackets(by_language(language, {name: _shrink(marked, name, accessors) for name in R.RULES}))
 
 
 def _wrap(text: str, name: str, accessors: bool, statements: bool) -> str:
     rule = R.RULES[name]
     if accessors and rule.accessors and rule.blocks != "indent":
-        body = LINE_BODY if rule.expression_bodies else BLOCK_BODY
+        body = _line_body if rule.expression_bodies else _block_body
         kinds = "".join(NEEDS[need] for need in dict.fromkeys(a.needs for a in rule.accessors))
-        span = rf"{LEADS}[{kinds}]{body}"
+        span = rf"{LEADS}[{kinds}]{body()}"
         if rule.property:
-            span += rf"|{LEADS}{PROPERTY}[^\n]*+\n++{ATTACHED}{body}(?:\n++{ATTACHED}{body})*+"
+            span += rf"|{LEADS}{PROPERTY}[^\n]*+\n++{ATTACHED}{body()}(?:\n++{ATTACHED}{body()})*+"
         text = sub(text, span, f"{OPEN}$0{CLOSE}")
         for need, token in ((R.RETURN, HAS_RETURN), (R.ASSIGN, "="), (R.ACCESSOR, HAS_ACCESSOR)):
             if any(a.needs == need for a in rule.accessors):
                 text = sub(text, rf"{OPEN}({LEADS}{NEEDS[need]}[^{token}{CLOSE}]*+){CLOSE}", "$1")
     if statements:
-        span = rf"{SEMICOLON_STATEMENT if rule.semicolons else LINE_STATEMENT}|{LINE}[^\n]*+"
+        span = rf"{_semicolon_statement() if rule.semicolons else _line_statement()}|{LINE}[^\n]*+"
         text = sub(text, rf"({OPEN}[^{CLOSE}]*+{CLOSE})|({span})", f"$1{OPEN}$2{CLOSE}")
         text = f"replace({text}, '{OPEN}{CLOSE}', '')"
     return text
 
 
-def wrap_spans(marked: str, language: str, accessors: bool, statements: Mapping[str, list[str]]) -> str:
+def wrap_spans(shrunk: str, language: str, accessors: bool, statements: Mapping[str, list[str]]) -> str:
     """Shrunken text in which every line of a span carries a marker.
 
     The first line of a span holds ``OPEN``, the following ones start with ``INSIDE``.
     """
     branches = {}
     for name in R.RULES:
-        wrapped = _wrap(_shrink(marked, name, accessors), name, accessors, bool(statements.get(name)))
+        wrapped = _wrap(shrunk, name, accessors, bool(statements.get(name)))
         branches[name] = sub(wrapped, rf"(?:{OPEN}|(?!\A)\G)[^\n{CLOSE}]*+\n", f"$0{INSIDE}")
     return by_language(language, branches)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,93 @@ def test_receivers_nested_comments_and_literals_without_small_limits(clean_all):
     assert got[4] == ("x = %w[#x y]\n\n", "cleaned")
 
 
+@pytest.mark.parametrize("depth", [70, 5000])
+def test_brackets_of_any_depth(clean_all, depth):
+    deep = "(" * depth + "1" + ")" * depth
+    mixed = "([{" * (depth // 3) + "}])" * (depth // 3)
+    pairs = [
+        ("java", f"void f() {{\n  log.info{deep};\n  g();\n}}\n"),
+        ("javascript", f"console.log({mixed})\nx()\n"),
+        ("python", f"print({deep})\nx()\n"),
+        ("python", f"def get_x(self, a={deep}):\n    return 1\ny = 2\n"),
+        ("java", "{\n" * depth + "log.info(1);\n" + "}\n" * depth),
+        ("java", f"void setX(int x) {{\n  a{deep};\n}}\nint y;\n"),
+        ("ruby", f"logger.info({deep})\nx\n"),
+    ]
+    got = clean_all(pairs, opts(remove_logging=True, remove_accessors=True))
+    assert {status for _, status in got} == {"cleaned"}
+    texts = [t for t, _ in got]
+    assert texts[:4] == ["void f() {\n\n  g();\n}\n", "\nx()\n", "\nx()\n", "\ny = 2\n"]
+    assert texts[4] == "{\n" * depth + "\n" + "}\n" * depth
+    assert texts[5:] == ["\nint y;\n", "\nx\n"]
+
+
+def test_brackets_must_pair_kind_by_kind(clean_all):
+    bad = ["a)(b;", "(]", "x[)](;", "}{", "((a)", "(" * 200 + "]" * 200, "([" * 90 + ")]" * 90, ")" + "()" * 300 + "("]
+    good = ["", "()", "([{}])[]" * 50, "(" * 300 + "[]" * 9 + ")" * 300, "{}" * 999]
+    got = clean_all([("java", f"x {b}\n") for b in bad + good], opts())
+    assert [s for _, s in got] == ["failed"] * len(bad) + ["cleaned"] * len(good)
+
+
+def _pairs_up(text):
+    stack = []
+    for c in text:
+        if c in "([{":
+            stack.append(")]}"["([{".index(c)])
+        elif not stack or stack.pop() != c:
+            return False
+    return not stack
+
+
+def test_pairing_against_a_stack(clean_all):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(400):
+        kinds = rng.choice(["()", "()[]{}"])
+        text = "".join(rng.choice(kinds) for _ in range(rng.randrange(1, 9)))
+        if rng.random() < 0.7:  # grow pairs around and beside
+            text = ""
+            for _ in range(rng.randrange(1, 60)):
+                o = rng.randrange(3)
+                text = rng.choice([f"{'([{'[o]}{text}{')]}'[o]}", text + "([{"[o] + ")]}"[o]])
+            if rng.random() < 0.4:
+                at = rng.randrange(len(text))
+                text = text[:at] + rng.choice("()[]{}") + text[at + 1 :]
+        texts.append(text)
+    got = clean_all([("go", f"x{t}\n") for t in texts], opts())
+    assert [s == "cleaned" for _, s in got] == [_pairs_up(t) for t in texts]
+
+
+def test_any_number_of_lines_above_an_accessor(clean_all):
+    decorators = "".join(f"@d{i}\n" for i in range(70))
+    notes = "".join(f"  @N{i}\n" for i in range(70))
+    attributes = " ".join(f"@a{i}" for i in range(18))
+    pairs = [
+        ("python", decorators + "@property\ndef x(self):\n    return 1\ny = 2\n"),
+        ("python", decorators + "def get_x(self):\n    return 1\ny = 2\n"),
+        ("python", decorators + "def run(self):\n    return 1\n"),
+        ("java", f"class A {{\n{notes}  public int getX() {{\n    return x;\n  }}\n}}\n"),
+        ("java", f"class A {{\n{notes}  public void run() {{\n    x();\n  }}\n}}\n"),
+        ("swift", f"{attributes} func getX() -> Int {{\n  return x\n}}\nlet y = 1\n"),
+    ]
+    got = clean_all(pairs, opts(remove_accessors=True))
+    assert {status for _, status in got} == {"cleaned"}
+    texts = [t for t, _ in got]
+    assert texts[0] == texts[1] == "\ny = 2\n" and texts[2] == pairs[2][1]
+    assert texts[3] == "class A {\n\n}\n" and texts[4] == pairs[4][1] and texts[5] == "\nlet y = 1\n"
+
+
+def test_headers_of_any_length_and_indentation(clean_all):
+    pairs = [
+        ("javascript", "if (" + "a && " * 600 + "b)\n  console.log(1)\nsave()\n"),
+        ("kotlin", " " * 210 + "while (x)" + " " * 90 + "\n" + " " * 214 + "println(1)\nsave()\n"),
+        ("java", "if (x)" + "\t" * 99 + "\n  log.info(1);\nsave();\n"),
+        ("javascript", "else" + " " * 99 + "\n  console.log(1)\nsave()\n"),
+    ]
+    for text, status in clean_all(pairs, opts(remove_logging=True)):
+        assert status == "cleaned" and text.split("\n")[1].strip() == ";" and "save" in text.split("\n")[2]
+
+
 def test_unparsable_texts_are_left_alone(clean_all):
     pairs = [("go", "package main\nfunc main() {"), ("go", ""), (None, "a // b"), ("java", "x(\ue003); // c")]
     got = clean_all(pairs, CleanOptions())
