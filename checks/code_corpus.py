@@ -21,6 +21,8 @@ from sheaf.operators.spans import quote
 from sheaf.sources.tables import spread, to_corpus
 
 CODE, IMPORT, COMMENT, DOC, LOG, ACC = "code", "import", "comment", "doc", "log", "acc"
+# a line of which a logging call is a part: (kind, line, trailing comment or "", line without the call)
+PART_LOG = "part_log"
 
 # language -> extension and pieces; a piece is (kind, text) or (kind, text, trailing comment)
 FILES: list[tuple[str, str, list[tuple]]] = [
@@ -302,6 +304,57 @@ FILES: list[tuple[str, str, list[tuple]]] = [
     ),
 ]
 
+_DEEP = "(" * 70 + "{id}" + ")" * 70
+
+# pieces that every second file of a language has besides
+MORE: dict[str, list[tuple]] = {
+    "go": [
+        (PART_LOG, 'func note() { log.Println("{w}; }") }', "", "func note() {  }"),
+        (PART_LOG, "if n > {id} { a(); logger.Info(n); b() }", "", "if n > {id} { a(); b() }"),
+        (LOG, f"log.Print{_DEEP}"),
+        (CODE, f"keep{_DEEP}"),
+    ],
+    "java": [
+        (PART_LOG, 'class L{id} { void f(int x) { if (x > 1) log.info("{w})"); g(); } }', "", "class L{id} { void f(int x) { if (x > 1) ; g(); } }"),
+        (PART_LOG, "class M{id} { void f() { a(); System.out.println({id}); b(); } }", "", "class M{id} { void f() { a(); b(); } }"),
+        (LOG, f"log.info{_DEEP};"),
+        (CODE, "class N{id} {"),
+        (ACC, "\n".join(f"  @Note{i}" for i in range(70)) + "\n  public int getNote() {\n    return {id};\n  }"),
+        (CODE, "}"),
+    ],
+    "python": [
+        (PART_LOG, 'x = {id}; print("{w}; (")', "", "x = {id}; "),
+        (PART_LOG, "if x: print(x)", "# {w}", "if x: pass"),
+        (PART_LOG, "while x[1:2]: logger.info(x, {1: 2})", "", "while x[1:2]: pass"),
+        (LOG, f"print{_DEEP}"),
+        (ACC, "\n".join(f"@note{i}({i})" for i in range(70)) + "\n@property\ndef noted(self):\n    return {id}"),
+    ],
+    "javascript": [
+        (PART_LOG, 'try { a() } catch (e) { console.error(e, "{w}}") }', "", "try { a() } catch (e) {  }"),
+        (PART_LOG, "a(); console.log(`${id}`, {w: [1, 2]}); b()", "", "a(); b()"),
+        (PART_LOG, "if (a && " + "b && " * 500 + "c) console.log({id});", "", "if (a && " + "b && " * 500 + "c) ;"),
+        (LOG, f"console.log{_DEEP};"),
+    ],
+    "typescript": [
+        (PART_LOG, 'if (a) { console.log("{w}") } else { logger.warn({id}) }', "", "if (a) {  } else {  }"),
+        (CODE, 'const kept = () => console.log("{b}");'),
+    ],
+    "cpp": [
+        (PART_LOG, 'int f{id}() { printf("{w};"); return {id}; }', "", "int f{id}() { return {id}; }"),
+        (PART_LOG, "for (int i = 0; i < {id}; i++) printf(i);", "", "for (int i = 0; i < {id}; i++) ;"),
+    ],
+    "csharp": [(PART_LOG, 'class L{id} { void F() { Console.WriteLine("{w}}"); G(); } }', "", "class L{id} { void F() { G(); } }")],
+    "swift": [
+        (PART_LOG, 'func note() { print("{w}}"); g() }', "", "func note() { g() }"),
+        (ACC, " ".join(f"@note{i}" for i in range(18)) + " func getNote() -> Int {\n  return {id}\n}"),
+    ],
+    "kotlin": [
+        (PART_LOG, 'fun note() { println("{w}}"); g() }', "", "fun note() { g() }"),
+        (PART_LOG, "while (x) println({id})", "", "while (x) ;"),
+        (CODE, 'if (x) println("{b}") else y()'),
+    ],
+}
+
 # every 53rd file gets a bracket without a partner and must come through unchanged
 BROKEN_EVERY = 53
 # in these the added line is not code, or brackets are not paired
@@ -309,13 +362,25 @@ NOT_PARSED = ("html", "bash", "php")
 PLACE = re.compile(r"(\{id\}|\{w\}|\{b\})")
 
 
+def pieces_of(variant: int) -> tuple[str, str, list[tuple]]:
+    """Language, extension and pieces of the files whose part key leaves ``variant`` when divided by ``VARIANTS``."""
+    language, ext, pieces = FILES[variant % len(FILES)]
+    return language, ext, pieces + (MORE.get(language, []) if variant >= len(FILES) else [])
+
+
+VARIANTS = 2 * len(FILES)
+
+
 def piece_text(piece: tuple) -> str:
-    return piece[1] + (" " + piece[2] if len(piece) > 2 else "") + "\n"
+    return piece[1] + (" " + piece[2] if len(piece) > 2 and piece[2] else "") + "\n"
 
 
 def kept_text(language: str, piece: tuple, remove: set[str], docs_are_comments: bool) -> str:
     """A piece after the given kinds are removed; its line end stays."""
     kind, text = piece[0], piece[1]
+    if kind == PART_LOG:
+        text = piece[3] if LOG in remove else text
+        return kept_text(language, (CODE, text, *[c for c in piece[2:3] if c]), remove, docs_are_comments)
     gone = kind in remove or (kind == DOC and COMMENT in remove and docs_are_comments)
     if gone:
         return "\n"
@@ -341,13 +406,14 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
     part = spread(part, "p_partkey")
     texts, suffixes = [], []
-    for i, (language, ext, pieces) in enumerate(FILES):
+    for i in range(VARIANTS):
+        language, ext, pieces = pieces_of(i)
         body = _assemble("".join(piece_text(p) for p in pieces), "STRING", quote)
         if language not in NOT_PARSED:
             body += f" || IF(p_partkey % {BROKEN_EVERY} = 0, 'broken(\\n', '')"
         texts.append(f"WHEN {i} THEN {body}")
         suffixes.append(f"WHEN {i} THEN '{ext}'")
-    case = f"CASE p_partkey % {len(FILES)} "
+    case = f"CASE p_partkey % {VARIANTS} "
     content, suffix = (F.expr(case + " ".join(arms) + " END") for arms in (texts, suffixes))
     path = F.concat(
         F.lit("src/"), F.col("p_brand"), F.lit("/P"), F.col("p_partkey").cast("string"), F.lit("."), suffix
@@ -357,8 +423,10 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_sql(remove: set[str] = frozenset(), docs_are_comments: bool = False) -> str:
     """SQL of the same files with the pieces of the given kinds removed."""
-    text, ext, lang, ok = ["CASE p_partkey % 15"], ["CASE p_partkey % 15"], ["CASE p_partkey % 15"], []
-    for i, (language, suffix, pieces) in enumerate(FILES):
+    text, ext, lang = ([f"CASE p_partkey % {VARIANTS}"] for _ in range(3))
+    ok = []
+    for i in range(VARIANTS):
+        language, suffix, pieces = pieces_of(i)
         whole = _sql("".join(piece_text(p) for p in pieces))
         left = _sql("".join(kept_text(language, p, set(remove), docs_are_comments) for p in pieces))
         if language in NOT_PARSED:
@@ -370,7 +438,7 @@ def code_sql(remove: set[str] = frozenset(), docs_are_comments: bool = False) ->
             )
         ext.append(f"WHEN {i} THEN '{suffix}'")
         lang.append(f"WHEN {i} THEN '{language}'")
-    fine = f"(p_partkey % {BROKEN_EVERY} <> 0 OR p_partkey % 15 IN ({', '.join(ok)}))"
+    fine = f"(p_partkey % {BROKEN_EVERY} <> 0 OR p_partkey % {VARIANTS} IN ({', '.join(ok)}))"
     return (
         "SELECT p_partkey AS file_id, 'src/' || p_brand || '/P' || CAST(p_partkey AS VARCHAR) || '.' || "
         + " ".join(ext)

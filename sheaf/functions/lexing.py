@@ -214,3 +214,21 @@ def logical_line_regex(language: str) -> str:
     plain = rf"[^{lex.openers}\n]*+"
     head = f"(?:{lex.head})?+" if lex.head else ""
     return rf"{FLAGS}{head}{plain}(?:(?:{token}|[^\n]){plain})*+\n?+"
+
+
+#: Characters at which a text is cut into pieces, in code; Python's headers end with a colon.
+CUTS = {"python": r"\n()\[\]{};:"}
+ANY_CUT = r"\n()\[\]{};"
+
+
+def cuts(language: str) -> str:
+    return CUTS.get(language, ANY_CUT)
+
+
+def piece_regex(language: str) -> str:
+    """A piece of a text up to and with the next cut; cuts inside strings and comments do not count."""
+    lex = LEXICONS[language]
+    token = any_of(lex.strings + lex.comments)
+    plain = rf"[^{lex.openers}{cuts(language)}]*+"
+    head = f"(?:{lex.head})?+" if lex.head else ""
+    return rf"{FLAGS}{head}{plain}(?:(?:{token}|[^{cuts(language)}]){plain})*+[{cuts(language)}]?+"

@@ -209,3 +209,18 @@ def logging_pattern(language: str, prefixes=()) -> str | None:
     own = [LINE_START + re.escape(prefix) for prefix in prefixes]
     parts = ([rule] if rule else []) + own
     return "|".join(parts) if parts else None
+
+
+# languages whose logging calls are also looked for inside a line
+INLINE = tuple(name for name, rule in RULES.items() if rule.logging and rule.blocks in ("brackets", "indent"))
+# of these, those in which a line never is a header's body without a brace or deeper indentation of its own
+BRACED = ("go", "swift")
+# what a one-line body stands behind: the header's word, before its brackets, and Python's headers
+CONTROL = r"\b(?:if|for|while|foreach)\b[ \t]*+"
+PYTHON_HEADER = r"^[ \t]*+(?:if|elif|else|for|while|try|except|finally|with|async)\b"
+
+
+def inline_pattern(language: str, prefixes=()) -> str | None:
+    """The logging rule without the line start."""
+    pattern = logging_pattern(language, prefixes)
+    return pattern.replace(LINE_START, "") if pattern and language in INLINE else None

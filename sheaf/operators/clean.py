@@ -52,6 +52,16 @@ def clean(
         cut = f"IF({S.has_span('_wrapped')}, {S.drop_spans(content, language, '_wrapped')}, {content})"
         out = out.selectExpr(*rest, "_fine", f"{cut} AS {content}")
 
+    calls = {name: R.inline_pattern(name, options.logging_prefixes.get(name, ())) for name in R.INLINE}
+    if options.remove_logging:
+        # calls that share their line with other code, in what is left
+        found = f"_fine AND {S.has_inline(content, language, calls)}"
+        out = out.selectExpr("*", f"IF({found}, {S.mask_text(content, language)}, NULL) AS _mask")
+        out = out.selectExpr(*out.columns[:-1], f"{S.tag_brackets('_mask')} AS _tagged")
+        out = out.selectExpr(*out.columns[:-1], f"{S.wrap_inline('_tagged', language, calls)} AS _inline")
+        cut = f"IF({S.has_span('_inline')}, {S.drop_inline(content, language, '_inline', calls)}, {content})"
+        out = out.selectExpr(*rest, "_fine", f"{cut} AS {content}")
+
     done = text
     if options.remove_imports:
         done = F.when(lang == "html", F.regexp_replace(done, _whole_line(R.HTML_IMPORTS), "")).otherwise(done)

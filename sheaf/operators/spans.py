@@ -17,11 +17,11 @@ step has a limit on depth, on the lines above an accessor or on a line's length.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from itertools import count
 
 from sheaf.functions import rules as R
-from sheaf.functions.lexing import LEXICONS, MASKED, logical_line_regex, mask_regex
+from sheaf.functions.lexing import LEXICONS, MASKED, cuts, logical_line_regex, mask_regex, piece_regex
 
 # marker characters, from a private block of Unicode that code does not use
 (STATEMENT, LINE, PLAIN, RETURNS, ASSIGNS, ACCESSES, ATTACHED, LEAD, PROPERTY) = map(chr, range(0xE000, 0xE009))
@@ -315,3 +315,69 @@ def drop_spans(text: str, language: str, wrapped: str) -> str:
         WHEN instr(flag, '{CLOSE}') > 0 THEN IF(endswith(line, '\\n'), '\\n', '')
         WHEN startswith(flag, '{INSIDE}') OR instr(flag, '{OPEN}') > 0 THEN ''
         ELSE line END), '')"""
+
+
+def has_inline(text: str, language: str, calls: Mapping[str, str]) -> str:
+    """Cheap first test: something like a call behind other code of its line."""
+    tests = {
+        name: matches(text, rf"(?dm)(?:[;{{}}):]|\A|\belse{'|^' * (name in R.BRACED)})[ \t\r\n]*+(?:{call})")
+        for name, call in calls.items()
+    }
+    return f"coalesce({by_language(language, tests)}, false)" if tests else "false"
+
+
+def wrap_inline(tagged: str, language: str, calls: Mapping[str, str]) -> str:
+    """Tagged masked text in which calls that share their line with other code are enclosed in markers, without tags.
+
+    A call stands behind a brace or semicolon, or begins the text, or a line where
+    bodies always have braces. It ends with its semicolon, or before a closing
+    brace or the end of its line; its brackets may hold anything. Behind the
+    brackets of a header, ``else`` or a colon it is the whole body and is marked with
+    ``HOLD``: something empty has to stay. Every piece inside starts with a marker.
+    """
+    behind = r"(?<=;|[{}]-?[0-9]{1,9},)[ \t\r\n]*+|\A[ \t\r\n]*+"
+    blank = r"[ \t]*+"
+    branches = {}
+    for name, call in calls.items():
+        cut = cuts(name)
+
+        def body(after: str, call: str = call, name: str = name) -> str:
+            if R.RULES[name].semicolons:
+                return rf"(?=(?:{call}))(?:[^()\[\]{{}};]++|{_pair()})*+;{after}"
+            part = lambda: rf"[^()\[\]{{}};\n]*+{_pair(r'(\[', r')\]')}"
+            chain = rf"{part()}(?:[.?!:]{part()})*+"
+            return rf"(?=(?:{call})){chain}(?:{blank};{after}|(?=[ \t\r]*+(?:}}|\n|\z)))"
+
+        if name == "python":
+            header = rf"{R.PYTHON_HEADER}(?:[^()\[\]{{}}:;\n]++|{_pair()})*+:{blank}"
+            after = r"(?=[ \t\r]*+(?:\n|\z))"
+        else:
+            header, after = rf"(?:{R.CONTROL}{_pair('(', ')')}|\belse(?![\w$])){blank}", ""
+        text = sub(tagged, rf"(?dm)(?<head>{header})(?<call>{body('')}){after}", f"${{head}}{HOLD}{OPEN}${{call}}{CLOSE}")
+        # the semicolons in the head of a loop end no statement
+        loop = rf"(?<loop>\bfor\b{blank}{_pair('(', ')')})"
+        start = f"{behind}|^{blank}" if name in R.BRACED else behind
+        text = sub(text, rf"(?dm){loop}|(?<blank>{start})(?<call>{body(blank)})", f"${{loop}}${{blank}}{OPEN}${{call}}{CLOSE}")
+        text = f"replace({text}, '{OPEN}{CLOSE}', '')"
+        text = untag_brackets(text)
+        branches[name] = sub(text, rf"(?:{OPEN}|(?!\A)\G)[^{cut}{CLOSE}]*+[{cut}](?!{CLOSE})", f"$0{INSIDE}")
+    return by_language(language, branches)
+
+
+def drop_inline(text: str, language: str, wrapped: str, names: Iterable[str]) -> str:
+    """The text without the calls, piece by piece; strings and comments lie inside pieces."""
+
+    def pieces(of: str, pattern: str) -> str:
+        return f"regexp_extract_all({of}, {quote(pattern)}, 0)"
+
+    own = by_language(language, {name: pieces(text, piece_regex(name)) for name in names})
+    flags = by_language(language, {name: pieces(wrapped, rf"(?d)[^{cuts(name)}]*+[{cuts(name)}]?+") for name in names})
+    empty = f"IF({language} = 'python', 'pass', ';')"
+    return f"""
+    array_join(zip_with({own}, {flags}, (piece, flag) -> CASE
+        WHEN flag IS NULL OR piece IS NULL THEN coalesce(piece, '')
+        WHEN instr(flag, '{HOLD}') > 0 THEN concat(regexp_extract(piece, '^(?:[ \\t]*else)?[ \\t]*', 0), {empty})
+        WHEN instr(flag, '{OPEN}') > 0 THEN regexp_extract(piece, '^[ \\t\\r\\n]*', 0)
+        WHEN instr(flag, '{CLOSE}') > 0 AND startswith(flag, '{INSIDE}') THEN regexp_replace(piece, '^[ \\t]+', '')
+        WHEN startswith(flag, '{INSIDE}') THEN ''
+        ELSE piece END), '')"""

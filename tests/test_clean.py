@@ -184,6 +184,40 @@ def test_headers_of_any_length_and_indentation(clean_all):
         assert status == "cleaned" and text.split("\n")[1].strip() == ";" and "save" in text.split("\n")[2]
 
 
+# language, text, what is left of it
+INSIDE_LINES = [
+    ("go", 'func main() { log.Println("test") }\n', "func main() {  }\n"),
+    ("go", "func f() {\n\tx()\n\tlog.Println(1); y()\n}\n", "func f() {\n\tx()\n\ty()\n}\n"),
+    ("go", "for i := 0; i < 3; log.Println(i) { a() }\n", None),
+    ("javascript", "try { x() } catch (e) { console.error(e); }\n", "try { x() } catch (e) { }\n"),
+    ("javascript", "a(); console.log(`y${1}`, {a: [1, 2]}); b();\n", "a(); b();\n"),
+    ("javascript", "x.forEach(e => { console.log(\n  e,\n  1); });\n", "x.forEach(e => { });\n"),
+    ("javascript", 'const s = "{ console.log(1) }"; f();\n', None),
+    ("javascript", "const f = () => console.log(1);\n", None),
+    ("javascript", "if (x)\n  console.log(1); foo()\n", None),
+    ("java", 'if (x) log.info("a");\nb();\n', "if (x) ;\nb();\n"),
+    ("java", "if (a) b(); else log.info(1); c();\n", "if (a) b(); else ; c();\n"),
+    ("java", "for (int i = 0; log.isOn(); i++) log.x(i);\n", "for (int i = 0; log.isOn(); i++) ;\n"),
+    ("java", 'void f() { log.info("a;}{"); /* ; log.x( */ g(); }\n', "void f() { /* ; log.x( */ g(); }\n"),
+    ("java", "{" * 80 + " log.info(1); " + "}" * 80, "{" * 80 + " " + "}" * 80),
+    ("java", "catalog.x(); mylog.info(1);\n", None),
+    ("python", "x = 1; print(x)\n", "x = 1; \n"),
+    ("python", "if x[1:2]: print(x)\ny\n", "if x[1:2]: pass\ny\n"),
+    ("python", "d = {1: print(x)}\n", None),
+    ("kotlin", 'if (x) println("a") else y()\n', None),
+    ("kotlin", 'fun f() { println("a"); g() }\n', "fun f() { g() }\n"),
+    ("swift", 'func f() { print("a"); g(); }\n', "func f() { g(); }\n"),
+    ("cpp", 'int main() { printf("x"); return 0; }\n', "int main() { return 0; }\n"),
+    ("csharp", 'void F() { Console.WriteLine("x"); G(); }\n', "void F() { G(); }\n"),
+    ("php", '<?php function f() { error_log("x"); g(); }\n', "<?php function f() { g(); }\n"),
+]
+
+
+def test_calls_inside_a_line(clean_all):
+    got = clean_all([(lang, text) for lang, text, _ in INSIDE_LINES], opts(remove_logging=True))
+    assert got == [(text if left is None else left, "cleaned") for _, text, left in INSIDE_LINES]
+
+
 def test_unparsable_texts_are_left_alone(clean_all):
     pairs = [("go", "package main\nfunc main() {"), ("go", ""), (None, "a // b"), ("java", "x(\ue003); // c")]
     got = clean_all(pairs, CleanOptions())
@@ -331,10 +365,10 @@ def test_accessor_rules(clean_all):
         assert after == ("\n\n" if gone else f"\n{text}\n"), (lang, text)
 
 
-def test_a_statement_that_shares_its_line_stays(clean_all):
+def test_a_statement_that_shares_its_line_goes_alone(clean_all):
     pairs = [("java", "void f() {\n  log.info(1); g();\n  if (a) { log.info(2); }\n}\n"), ("bash", 'echo "Debug" && rm x\n')]
     got = clean_all(pairs, opts(remove_logging=True))
-    assert [t for t, _ in got] == [t for _, t in pairs]
+    assert [t for t, _ in got] == ["void f() {\n  g();\n  if (a) { }\n}\n", pairs[1][1]]
 
 
 def test_outermost_span_wins(clean_all):
