@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import code_corpus as C
 from sheaf.functions import encode, paths, sizes
-from sheaf.operators import assign, bundles, dedup, manifest, numbering, select, whitespace
+from sheaf.operators import assign, bundles, dedup, manifest, numbering, shards, select, whitespace
 from sheaf.operators.clean import clean
 from sheaf.operators.comments import remove_comments, strip_comments
 from sheaf.options import CleanOptions, PackOptions
@@ -528,6 +528,24 @@ def bundle_size_cap(spark, sf_dir):
     return bundles.render_bundles(rows, "xml", sizes.parse_size("20KB"))
 
 
+SHARD_BYTES = 16384
+
+
+@query(
+    "bundle_shards",
+    "SELECT output, path, index, CAST(start AS BIGINT) AS \"offset\", CAST(strlen(frag) AS BIGINT) AS bytes,"
+    f" CAST(start // {SHARD_BYTES} AS INTEGER) AS shard FROM (SELECT *, strlen({_XML_HEAD}) + coalesce(sum(strlen(frag))"
+    " OVER (PARTITION BY output ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start"
+    f" FROM (SELECT *, {_xml_fragment('index', 'path', 'content')} AS frag FROM (SELECT *,"
+    f" row_number() OVER (PARTITION BY output ORDER BY path) AS index FROM ({_BY_SOURCE}))))",
+)
+def bundle_shards(spark, sf_dir):
+    rows = documents(spark, sf_dir, heavy=True).withColumn(
+        "output", F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit(".xml"))
+    )
+    return shards.shard_documents(rows, "xml", SHARD_BYTES)
+
+
 @query(
     "rendered_sizes",
     "SELECT output, documents, rendered_size, error FROM (" + _xml_bundle_sql(_BY_SOURCE, 20480) + ")",
