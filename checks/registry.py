@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import code_corpus as C
 from sheaf.functions import encode, paths, sizes
-from sheaf.operators import assign, bundles, dedup, manifest, numbering, shards, select, whitespace
+from sheaf.operators import assign, bundles, dedup, links, manifest, numbering, shards, select, whitespace
 from sheaf.operators.clean import clean
 from sheaf.operators.comments import remove_comments, strip_comments
 from sheaf.options import CleanOptions, PackOptions
@@ -479,6 +479,39 @@ def document_index(spark, sf_dir):
     return numbering.number_documents(keys)
 
 
+# every third part is a link: to one hot file, to nothing, to each other, or to the one three below
+_TARGET = (
+    "CASE WHEN p_partkey % 3 <> 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 1 WHEN p_partkey % 13 = 0 THEN -p_partkey"
+    " WHEN p_partkey % 102 = 51 THEN p_partkey + 51 WHEN p_partkey % 102 = 0 THEN p_partkey - 51 ELSE p_partkey - 3 END"
+)
+
+
+@query(
+    "dedup_links",
+    f"""
+WITH RECURSIVE links AS (SELECT p_partkey AS k, {_TARGET} AS target FROM part),
+walk AS (
+  SELECT k, target AS place, 0 AS n FROM links WHERE target IS NOT NULL
+  UNION ALL
+  SELECT w.k, l.target, w.n + 1 FROM walk w JOIN links l ON l.k = w.place WHERE l.target IS NOT NULL AND w.n < 400
+), ended AS (
+  SELECT k, place, n FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1
+), resolved AS (
+  SELECT s.k, CASE WHEN s.target IS NULL THEN s.k WHEN l.n < 400 THEN e.k END AS identity, s.target IS NOT NULL AS is_link,
+         CASE WHEN s.target IS NULL THEN NULL WHEN l.n >= 400 THEN '{links.CYCLE}' WHEN e.k IS NULL THEN '{links.BROKEN}' END AS link_error
+  FROM links s LEFT JOIN ended l ON l.k = s.k LEFT JOIN links e ON e.k = l.place
+)
+SELECT 'f/' || k AS path, 'f/' || identity AS identity, link_error FROM resolved
+QUALIFY link_error IS NOT NULL OR row_number() OVER (PARTITION BY identity, link_error ORDER BY is_link, 'f/' || k) = 1
+""",
+)
+def dedup_links(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_TARGET).alias("to"))
+    name = lambda c: F.concat(F.lit("f/"), F.col(c).cast("string"))
+    files = part.select(name("p_partkey").alias("path"), name("to").alias("target"))
+    return links.distinct_files(files).select("path", "identity", "link_error")
+
+
 # --- bundles ----------------------------------------------------------------------------
 
 _XML_HEAD = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<documents>'"
