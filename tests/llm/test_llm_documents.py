@@ -315,3 +315,29 @@ def test_repeats_of_nothing(spark):
 def test_repeats_query(spark):
     got = nulls_last(map(tuple, QUERIES["op2_repeats"](spark, SMALL).collect()))
     assert got == removed(documents(spark), 50)
+
+
+def test_rows_without_an_id_meet_their_own_text_only(spark):
+    words = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(120)]
+    rows = [(None, w) for w in words] + [(None, w + " more") for w in words] + [(None, words[0])] * 40
+    df = spark.createDataFrame(rows, DOCS)
+    rule = jaccard.Rule(4, 85)
+    sets = jaccard.with_sets(jaccard.named(df), rule)
+    members = sets.groupBy("set").agg(F.min(F.struct("doc_id", "_h1", "_h2")).alias("_rep")).withColumn("region", F.lit("r"))
+    joined = jaccard.named(df).join(members, (F.col("_h1") == F.col("_rep._h1")) & (F.col("_h2") == F.col("_rep._h2")))
+    assert joined.count() == len(rows)
+    assert jaccard.member_sets(df, members, rule).count() == 240
+    assert nulls_last(map(tuple, jaccard.link_components(df, rule).drop("set").collect())) == nulls_last(linked(rows, 4, 85))
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text.replace(" ", "  "), "b"), (1, "other words only here", "c"), (2, text + " x", "d")]
+    rows += [(3, None, "e"), (3, " \n", "f"), (3, "", "g"), (None, text, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h1 string").select("_h1", "text", "doc_id")
+    got = jaccard.keep_one(df, jaccard.Rule(5, 80))
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id, (r.text or "").split(), r["_h1"]) for r in got.collect())
+    assert [k[0] for k in kept] == [1, 1, 3, 3, 3]
+    assert [k[2] for k in kept if k[0] == 3] == ["e", "f", "g"]
+    assert {tuple(k[1]) for k in kept if k[0] == 1} == {tuple(text.split()), ("other", "words", "only", "here")}
