@@ -320,7 +320,8 @@ def drop_spans(text: str, language: str, wrapped: str) -> str:
 def has_inline(text: str, language: str, calls: Mapping[str, str]) -> str:
     """Cheap first test: something like a call behind other code of its line."""
     tests = {
-        name: matches(text, rf"(?dm)(?:[;{{}}):]|\A|\belse{'|^' * (name in R.BRACED)})[ \t\r\n]*+(?:{call})")
+        # blank lines are passed once: behind a line's start only blanks of that line count
+        name: matches(text, rf"(?dm)(?:[;{{}}):]|\A|\belse)[ \t\r\n]*+(?:{call})" + rf"|^[ \t]*+(?:{call})" * (name in R.BRACED))
         for name, call in calls.items()
     }
     return f"coalesce({by_language(language, tests)}, false)" if tests else "false"
