@@ -30,8 +30,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Tokens that are tested. "=" is padding at their end or stands between a name and its value.
 PADDING = "(?:=++(?![A-Za-z0-9+/_-]))?"
 TOKEN = "[A-Za-z0-9+/_-]{20,}" + PADDING
-#: A token with symbols of both base64 alphabets, and what it may be made of.
-BOTH = "[+/].*[_-]|[_-].*[+/]"
+#: Symbols of the two base64 alphabets; a token may hold both, and is then tested by its parts.
+STANDARD, URL_SAFE = "[+/]", "[_-]"
 PARTS = ("[A-Za-z0-9_-]{20,}" + PADDING, "[A-Za-z0-9+/]{20,}" + PADDING)
 #: Encodings by the smallest alphabet that holds the token, its symbols in the order of their values.
 ENCODINGS = (
@@ -60,17 +60,37 @@ def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> C
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     before = F.split(text, pattern, -1)
     # the piece before a match, the match, and what must be long enough of it
-    rows = F.arrays_zip(F.slice(before, 1, F.size(whole)).alias("b"), whole.alias("w"), values.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("held"))
+    rows = F.transform(
+        F.arrays_zip(F.slice(before, 1, F.size(whole)).alias("b"), whole.alias("w"), values.alias("v")),
+        lambda r: F.struct(F.length(r["b"]).alias("b"), F.length(r["w"]).alias("w"), F.length(r["v"]).alias("v")),
+    )
+
+    def placed(r: Column) -> Column:
+        ends = _running(F.transform(r, lambda x: x["b"] + x["w"]), lambda x, y: x + y)
+        spans = F.zip_with(
+            r, ends, lambda x, e: F.struct((e - x["w"]).alias("start"), e.alias("end"), (x["v"] >= least).alias("ok"))
+        )
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    return _let(rows, placed)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + F.length(row["b"])
-        end = begin + F.length(row["w"])
-        found = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        held = F.when(F.length(row["v"]) >= least, F.concat(state["held"], found)).otherwise(state["held"])
-        return F.struct(end.alias("at"), held.alias("held"))
 
-    return F.aggregate(rows, start, step, lambda state: state["held"])
+def _running(values: Column, combine) -> Column:
+    """Running total of an array under ``combine``, by doubling: n log n steps for n values.
+
+    Adding to an array one element at a time would copy it each time.
+    """
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(values))
+
+    def widen(held: Column, step: Column) -> Column:
+        return F.transform(held, lambda x, i: F.when(i >= step, combine(x, F.get(held, i - step))).otherwise(x))
+
+    return F.aggregate(steps, values, widen)
 
 
 def _tail(z: Column) -> Column:
@@ -86,9 +106,10 @@ def _tail(z: Column) -> Column:
 
 def _uniform(token: Column, n: Column, symbols: Column) -> Column:
     """Chi-squared test that all symbols are alike frequent, as a one-sided p-value (cube-root transform)."""
-    chars = F.split(token, "")
+    # at most as many passes as the alphabet has symbols
+    count = lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("long")
     squares = F.aggregate(
-        chars, F.lit(0).cast("long"), lambda sum_, c: sum_ + F.length(token) - F.length(F.replace(token, c, F.lit("")))
+        F.array_distinct(F.split(token, "")), F.lit(0).cast("long"), lambda sum_, c: sum_ + count(c) * count(c)
     )
     chi = symbols * squares / n - n
     free = symbols - 1
@@ -146,13 +167,15 @@ def tested_tokens(text: Column) -> Column:
         F.transform(
             cut_out(text, match_spans(text, TOKEN), F.lit(0)),
             lambda s: F.when(
-                s["t"].rlike(BOTH),
+                s["t"].rlike(STANDARD) & s["t"].rlike(URL_SAFE),
                 # a part of plain letters and digits is one of both kinds
-                F.array_distinct(F.concat(*[cut_out(s["t"], match_spans(s["t"], part), s["start"]) for part in PARTS])),
+                _once(F.concat(*[cut_out(s["t"], match_spans(s["t"], part), s["start"]) for part in PARTS])),
             ).otherwise(F.array(s)),
         )
     )
-    mixed = F.filter(cut, lambda s: s["t"].rlike("[0-9]") & s["t"].rlike("[A-Za-z]") | s["t"].rlike("[A-Z].*[a-z]|[a-z].*[A-Z]"))
+    mixed = F.filter(
+        cut, lambda s: s["t"].rlike("[0-9]") & s["t"].rlike("[A-Za-z]") | s["t"].rlike("[A-Z]") & s["t"].rlike("[a-z]")
+    )
     known = F.transform(
         mixed,
         lambda s: F.struct(
@@ -192,6 +215,12 @@ def tested_tokens(text: Column) -> Column:
     )
 
 
+def _once(spans: Column) -> Column:
+    """Distinct spans, sorted; a search per span would take time with their square."""
+    return _let(F.array_sort(spans), lambda a: F.filter(a, lambda s, i: (i == 0) | (s["start"] != F.get(a, i - 1)["start"])
+                                                         | (s["end"] != F.get(a, i - 1)["end"])))
+
+
 def _place(symbols: Column, symbol: Column) -> Column:
     return (F.call_function("instr", symbols, symbol) - 1).cast("double")
 
@@ -248,19 +277,48 @@ def _tagged(spans: Column, k: int) -> Column:
     )
 
 
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
 def _united(spans: Column) -> Column:
     """Spans that overlap become one."""
 
-    def step(held: Column, s: Column) -> Column:
-        last = F.try_element_at(held, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(
-            (F.size(held) > 0) & (last["end"] > s["start"]),
-            F.concat(F.slice(held, 1, F.size(held) - 1), F.array(wider)),
-        ).otherwise(F.concat(held, F.array(s)))
+    def merged(a: Column, reach: Column) -> Column:
+        # a span begins a new one where no span before reaches beyond its start
+        places = F.transform(a, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i))
+        firsts = F.filter(places, lambda i: i.isNotNull())
+        return _let(
+            firsts,
+            lambda f: F.transform(
+                f,
+                lambda i, k: F.struct(
+                    F.get(a, i)["start"].alias("start"),
+                    F.get(reach, F.coalesce(F.get(f, k + 1), F.size(a)) - 1).alias("end"),
+                ),
+            ),
+        )
 
-    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.aggregate(F.array_sort(plain), _none(), step)
+    furthest = lambda a: _let(F.transform(a, lambda s: s["end"]), lambda e: _running(e, F.greatest))
+    return _let(F.array_sort(_plain(spans)), lambda a: _let(furthest(a), lambda reach: merged(a, reach)))
+
+
+def _apart(spans: Column, from_: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``from_``: one sort and two running totals."""
+    tag = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"))
+    all_ = F.array_sort(F.concat(F.transform(spans, lambda s: tag(s, True)), F.transform(from_, lambda s: tag(s, False))))
+    # how far the others before reach, and where the next of the others begins
+    reach = lambda a: _let(F.transform(a, lambda s: F.when(s["own"], F.lit(-1)).otherwise(s["end"])), lambda e: _running(e, F.greatest))
+    next_ = lambda a: F.reverse(
+        _let(
+            F.reverse(F.transform(a, lambda s: F.when(s["own"], F.lit((1 << 31) - 1)).otherwise(s["start"]))),
+            lambda e: _running(e, F.least),
+        )
+    )
+    free = lambda a, r, n: F.filter(
+        a, lambda s, i: s["own"] & (F.get(r, i) <= s["start"]) & (F.get(n, i) >= s["end"])
+    )
+    return _plain(_let(all_, lambda a: _let(reach(a), lambda r: _let(next_(a), lambda n: free(a, r, n)))))
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
@@ -286,11 +344,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     )
     base = F.concat(*[_tagged(F.col(kind), k) for k, kind in enumerate(KINDS[:3])])
     kept = scanned.withColumn("_base", base)
-    random = F.filter(
-        F.coalesce("tokens", F.filter("tokens", lambda _: F.lit(False))),
-        lambda t: (t["p"] > limit(t)) & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
-    )
-    random = _tagged(_united(random), 3)
+    random = F.filter("tokens", lambda t: t["p"] > limit(t))
+    random = F.when(F.size(random) > 0, _tagged(_united(_apart(_plain(random), _plain(F.col("_base")))), 3))
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -7,6 +7,7 @@ from base64 import b64encode
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import licenses, secrets
 from sheaf.llm.queries import QUERIES
@@ -226,3 +227,42 @@ def test_license_query_has_the_results_of_its_sql(spark):
 
 def test_no_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_long_tokens_and_many_spans(spark):
+    """A token of a megabyte, of one letter or of random ones, and a text of many tokens end in linear time."""
+    rng = random.Random(8)
+    digits = "".join(rng.choices("0123456789abcdef", k=1_000_000))
+    both = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", k=200_000))
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=rng.randrange(20, 30))) for _ in range(20_000))
+    docs = [(1, digits), (2, "A" * 1_000_000), (3, both), (4, many), (5, "a1" * 400_000), (6, "token=" + "x" * 500_000)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(docs, DOCS)).collect()}
+    for doc_id, text in docs:
+        counts, _ = base(text)
+        r = got[doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == counts, doc_id
+    assert got[1].spans == "hex:0:1000000"
+    assert got[2].n_random == 0 and got[5].n_random == 0
+
+
+def test_spans_apart_and_united(spark):
+    """Overlaps against plain loops, with ties, spans inside others and spans that touch."""
+    rng = random.Random(9)
+
+    def some(n):
+        return [(s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(n))]
+
+    cases = [(i, some(rng.randrange(12)), some(rng.randrange(6))) for i in range(300)]
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(cases, f"i int, a {kind}, b {kind}")
+    got = df.select("i", secrets._apart(F.col("a"), F.col("b")).alias("free"), secrets._united(F.col("a")).alias("one"))
+    found = {r.i: (sorted(map(tuple, r.free)), [tuple(s) for s in r.one]) for r in got.collect()}
+    for i, a, b in cases:
+        free = sorted(s for s in a if not any(x < s[1] and y > s[0] for x, y in b))
+        one = []
+        for s, e in sorted(a):
+            if one and one[-1][1] > s:
+                one[-1] = (one[-1][0], max(one[-1][1], e))
+            else:
+                one.append((s, e))
+        assert found[i] == (free, one), (a, b)
