@@ -54,23 +54,31 @@ def _none() -> Column:
     return F.from_json(F.lit("[]"), _SPAN)
 
 
-def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Places (code points, end exclusive) of all matches whose ``group`` has ``least`` characters."""
+def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0, texts: bool = False) -> Column:
+    """Places (code points, end exclusive) of all matches whose ``group`` has ``least`` characters.
+
+    With ``texts`` the matches come along as ``t``: to cut them out by place would walk the text for each.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     before = F.split(text, pattern, -1)
     # the piece before a match, the match, and what must be long enough of it
     rows = F.transform(
         F.arrays_zip(F.slice(before, 1, F.size(whole)).alias("b"), whole.alias("w"), values.alias("v")),
-        lambda r: F.struct(F.length(r["b"]).alias("b"), F.length(r["w"]).alias("w"), F.length(r["v"]).alias("v")),
+        lambda r: F.struct(
+            F.length(r["b"]).alias("b"), F.length(r["w"]).alias("w"), F.length(r["v"]).alias("v"), r["w"].alias("t")
+        ),
     )
+    fields = ("start", "end", "t") if texts else ("start", "end")
 
     def placed(r: Column) -> Column:
         ends = _running(F.transform(r, lambda x: x["b"] + x["w"]), lambda x, y: x + y)
         spans = F.zip_with(
-            r, ends, lambda x, e: F.struct((e - x["w"]).alias("start"), e.alias("end"), (x["v"] >= least).alias("ok"))
+            r,
+            ends,
+            lambda x, e: F.struct((e - x["w"]).alias("start"), e.alias("end"), x["t"].alias("t"), (x["v"] >= least).alias("ok")),
         )
-        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
 
     return _let(rows, placed)
 
@@ -95,13 +103,18 @@ def _running(values: Column, combine) -> Column:
 
 def _tail(z: Column) -> Column:
     """Probability of a normal variate beyond |z| on both sides (rational approximation, error below 2e-7)."""
-    x = F.abs(z) / F.lit(math.sqrt(2))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
     terms = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    poly = F.lit(0.0)
-    for c in reversed(terms):
-        poly = (poly + F.lit(c)) * t
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), poly * F.exp(-x * x)))
+
+    def tail(x: Column) -> Column:
+        def by(t: Column) -> Column:
+            poly = F.lit(0.0)
+            for c in reversed(terms):
+                poly = (poly + F.lit(c)) * t
+            return F.least(F.lit(1.0), F.greatest(F.lit(0.0), poly * F.exp(-x * x)))
+
+        return _let(F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x), by)
+
+    return _let(F.abs(z) / F.lit(math.sqrt(2)), tail)
 
 
 def _uniform(token: Column, n: Column, symbols: Column) -> Column:
@@ -115,18 +128,23 @@ def _uniform(token: Column, n: Column, symbols: Column) -> Column:
     free = symbols - 1
     spread = F.lit(2.0) / (F.lit(9.0) * free)
     z = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-    return F.when(z > 0, _tail(z) / 2).otherwise(F.lit(1.0) - _tail(z) / 2)
+    return _let(z, lambda z: F.when(z > 0, _tail(z) / 2).otherwise(F.lit(1.0) - _tail(z) / 2))
 
 
 def _runs(values: Column, n: Column, symbols: Column) -> Column:
     """Runs test of symbols from the upper and the lower half of the alphabet."""
-    high = F.transform(values, lambda v: v >= symbols / 2)
-    ups = F.size(F.filter(high, lambda h: h)).cast("double")
-    downs = n - ups
-    changes = F.size(F.filter(F.zip_with(F.slice(high, 2, 1 << 30), high, lambda a, b: a != b), lambda c: c))
-    mean = F.lit(2.0) * ups * downs / n + 1
-    variance = (mean - 1) * (mean - 2) / (n - 1)
-    return F.when(variance > 0, _tail((changes + F.lit(1.0) - mean) / F.sqrt(variance))).otherwise(F.lit(0.0))
+
+    def tested(ups: Column, changes: Column) -> Column:
+        mean = F.lit(2.0) * ups * (n - ups) / n + 1
+        variance = (mean - 1) * (mean - 2) / (n - 1)
+        return F.when(variance > 0, _tail((changes + F.lit(1.0) - mean) / F.sqrt(variance))).otherwise(F.lit(0.0))
+
+    def counted(high: Column) -> Column:
+        changes = F.size(F.filter(F.zip_with(F.slice(high, 2, 1 << 30), high, lambda a, b: a != b), lambda c: c))
+        ups = F.size(F.filter(high, lambda h: h)).cast("double")
+        return _let(ups, lambda u: _let(changes, lambda c: tested(u, c)))
+
+    return _let(F.transform(values, lambda v: v >= symbols / 2), counted)
 
 
 def _serial(values: Column, n: Column, symbols: Column) -> Column:
@@ -153,24 +171,21 @@ def tested_tokens(text: Column) -> Column:
         F.create_map(*[x for n, _, symbols in ENCODINGS for x in (F.lit(n), F.lit(symbols))]), name
     )
 
-    def cut_out(of: Column, spans: Column, offset: Column) -> Column:
-        return F.transform(
-            spans,
+    def parts_of(token: Column) -> Column:
+        found = F.concat(*[match_spans(token["t"], part, texts=True) for part in PARTS])
+        moved = F.transform(
+            found,
             lambda s: F.struct(
-                (s["start"] + offset).alias("start"),
-                (s["end"] + offset).alias("end"),
-                F.substr(of, s["start"] + 1, s["end"] - s["start"]).alias("t"),
+                (s["start"] + token["start"]).alias("start"), (s["end"] + token["start"]).alias("end"), s["t"].alias("t")
             ),
         )
+        # a part of plain letters and digits is one of both kinds
+        return _once(moved)
 
     cut = F.flatten(
         F.transform(
-            cut_out(text, match_spans(text, TOKEN), F.lit(0)),
-            lambda s: F.when(
-                s["t"].rlike(STANDARD) & s["t"].rlike(URL_SAFE),
-                # a part of plain letters and digits is one of both kinds
-                _once(F.concat(*[cut_out(s["t"], match_spans(s["t"], part), s["start"]) for part in PARTS])),
-            ).otherwise(F.array(s)),
+            match_spans(text, TOKEN, texts=True),
+            lambda s: F.when(s["t"].rlike(STANDARD) & s["t"].rlike(URL_SAFE), parts_of(s)).otherwise(F.array(s)),
         )
     )
     mixed = F.filter(
@@ -217,8 +232,10 @@ def tested_tokens(text: Column) -> Column:
 
 def _once(spans: Column) -> Column:
     """Distinct spans, sorted; a search per span would take time with their square."""
-    return _let(F.array_sort(spans), lambda a: F.filter(a, lambda s, i: (i == 0) | (s["start"] != F.get(a, i - 1)["start"])
-                                                         | (s["end"] != F.get(a, i - 1)["end"])))
+    other = lambda s, last: (s["start"] != last["start"]) | (s["end"] != last["end"])
+    return _let(
+        F.array_sort(spans), lambda a: F.filter(a, lambda s, i: (i == 0) | other(s, F.get(a, i - 1)))
+    )
 
 
 def _place(symbols: Column, symbol: Column) -> Column:
