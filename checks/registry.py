@@ -14,7 +14,7 @@ from sheaf.operators.clean import clean
 from sheaf.operators.comments import remove_comments, strip_comments
 from sheaf.options import CleanOptions, PackOptions
 from sheaf.plans.pack import pack
-from sheaf.sources.files import scan_files
+from sheaf.sources.files import read_files, scan_files
 from sheaf.sources.tables import spread, to_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +94,25 @@ def corpus_from_tables(spark, sf_dir):
     )
 
 
-@query("scan_files")
+# SQL has no name for the folder the views were made of; this is the one whose results are compared
+FILES = (
+    "(SELECT regexp_extract(filename, '[^/]*$') AS name, regexp_extract(filename, '[.]([^./]*)$', 1) AS extension,"
+    " CAST(NULL AS VARCHAR) AS language, CAST(size AS BIGINT) AS raw_size, CAST(NULL AS VARCHAR) AS error,"
+    " sha256(content) AS content_sha256 FROM read_blob('/root/testdata/sf0.01/*.parquet'))"
+)
+
+
+@query("scan_files", f"SELECT name, extension, language, raw_size, error FROM {FILES}")
 def scan(spark, sf_dir):
     return scan_files(spark, [sf_dir]).select("name", "extension", "language", "raw_size", "error")
 
 
+@query("read_files", f"SELECT name, raw_size, error, content_sha256 FROM {FILES}")
+def read(spark, sf_dir):
+    content = F.sha2(F.col("content").cast("binary"), 256)
+    return read_files(spark, [sf_dir]).select("name", "raw_size", "error", content.alias("content_sha256"))
+
+
 # --- filters ----------------------------------------------------------------------------
 
 

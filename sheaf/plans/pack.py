@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import display_path
@@ -14,10 +17,18 @@ from sheaf.operators.dedup import content_identity, distinct_identity, distinct_
 from sheaf.operators.manifest import manifest, require_budget
 from sheaf.operators.select import drop_empty, select_paths, within_size
 from sheaf.options import PackOptions, output_format
-from sheaf.session import materialize
+from sheaf.session import materialize, written
+from sheaf.sources.files import read_files
 from sheaf.sources.tables import refresh_size
 
 
+class Packed(NamedTuple):
+    """What a run made, and every candidate with what became of it."""
+
+    bundles: DataFrame
+    manifest: DataFrame
+
+
 def candidates(corpus: DataFrame, options: PackOptions, most: int | None = None) -> DataFrame:
     """Rows the globs select, one per path; with ``most``, of those not larger.
 
@@ -69,6 +80,27 @@ def pack(corpus: DataFrame, options: PackOptions) -> DataFrame:
     return render(rows, options, wanted)
 
 
+def pack_reported(corpus: DataFrame, options: PackOptions) -> Packed:
+    """``pack`` with its manifest: rows with an error are left out of the bundles and reported there.
+
+    The manifest is written down before the bundles are made, so both tell of the
+    same run. ``manifest.budget`` counts its rows by status.
+    """
+    listing = written(dry_run(corpus, options), "manifest")
+    if options.enforce_budget:
+        require_budget(listing, parse_size(options.max_output_size))
+    return Packed(pack(corpus, replace(options, enforce_budget=False)), listing)
+
+
+def pack_files(spark: SparkSession, options: PackOptions) -> Packed:
+    """Bundles of the files below the roots; files that could not be read are rows of the manifest.
+
+    Files above ``max_file_size`` are listed and not opened.
+    """
+    corpus = read_files(spark, options.roots, parse_size(options.max_file_size))
+    return pack_reported(corpus, replace(options, unique_paths=True))
+
+
 def render(rows: DataFrame, options: PackOptions, outputs: DataFrame | None = None) -> DataFrame:
     """Bundles of prepared rows under the paths a reader should see."""
     path = F.col("path")
