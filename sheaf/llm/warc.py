@@ -41,7 +41,8 @@ RECORD = (
 
 
 def with_revisits(pages: DataFrame, key: str, payload: str) -> DataFrame:
-    """``pages`` with ``_digest`` (hex SHA-1 of the payload), ``_first`` (the key stored in full) and ``_stored``.
+    """``pages`` with ``_digest`` (hex SHA-1 of the payload), ``_first`` (the key stored in full), ``_stored``
+    and ``_copy``, which numbers rows alike in key and payload from 1.
 
     Copies of one payload may be a third of all rows. Payloads with more than a
     thousandth of the rows, fewer than a thousand by that rule, are broadcast and
@@ -59,8 +60,9 @@ def with_revisits(pages: DataFrame, key: str, payload: str) -> DataFrame:
     joined = salted.join(first, (F.col("_digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")))
     # rows alike in key and payload: one of them is stored
     alike = Window.partitionBy("_digest", "_salt", key).orderBy(F.lit(0))
-    return joined.withColumn(
-        "_stored", F.col(key).eqNullSafe(F.col("_first")) & (F.row_number().over(alike) == 1)
+    numbered = joined.withColumn("_copy", F.row_number().over(alike))
+    return numbered.withColumn(
+        "_stored", F.col(key).eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
     ).drop("_hot", "_salt", "_d", "_s")
 
 
@@ -78,24 +80,36 @@ def member(record: bytes) -> bytes:
     return out[:-1]
 
 
+def record_id(key: str, digest: str, copy: int) -> str:
+    """Follows from what the record is, so a revisit can name its response and reruns agree."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}/{copy}')}>"
+
+
 def record_bytes(
-    key: str, url: str | None, payload: bytes | None, size: int, digest: str, first: str, date: str
+    key: str, url: str | None, payload: bytes | None, size: int, digest: str, first: str, copy: int, date: str
 ) -> bytes:
-    """A response with its payload, or a revisit of ``first`` where the payload is None; ``size`` is the payload's."""
+    """A response with its payload, or a revisit of ``first`` where the payload is None; ``size`` is the payload's.
+
+    ``copy`` tells rows alike in key and payload apart. Of them the response is the first.
+    """
     stored = payload is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload or b"")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if stored else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {stored}')}>",
+        f"WARC-Record-ID: {record_id(key, digest, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or 'about:blank', safe=''.join(map(chr, range(33, 127))))}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {key}",
     ]
     if not stored:
-        lines += [f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Profile: {PROFILE}"]
+        lines += [
+            f"WARC-Refers-To: {record_id(first, digest, 1)}",
+            f"WARC-Profile: {PROFILE}",
+            f"X-Refers-To-Page-ID: {first}",
+        ]
     lines += [f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -119,7 +133,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z")
         F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("size"),
         "_digest",
         text("_first").alias("first"),
-        F.col("_stored").alias("stored"),
+        F.col("_copy").alias("copy"),
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +141,11 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z")
             records = []
             for row in batch.to_pylist():
                 digest = base64.b32encode(bytes.fromhex(row["_digest"])).decode()
-                records.append(
-                    member(record_bytes(row["key"], row["url"], row["payload"], row["size"], digest, row["first"], date))
-                )
+                fields = (row[c] for c in ("key", "url", "payload", "size"))
+                records.append(member(record_bytes(*fields, digest, row["first"], row["copy"], date)))
             yield pa.RecordBatch.from_pydict({"record": pa.array(records, pa.binary())})
 
-    write_records(rows.drop("stored").mapInArrow(pack, "record binary"), "record", path)
+    write_records(rows.mapInArrow(pack, "record binary"), "record", path)
 
 
 def _begins_record(data: bytes) -> bool:
@@ -157,14 +170,13 @@ def parsed(record: bytes, with_payload: bool) -> dict:
         len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest
     ):
         raise ValueError(f"payload of page {fields.get('X-Page-ID')} does not have its digest")
-    first = fields.get("WARC-Refers-To")
     return {
         "page_id": fields["X-Page-ID"],
         "target_uri": fields["WARC-Target-URI"],
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": first.removeprefix("<urn:page:").removesuffix(">") if first else None,
+        "refers_to": fields.get("X-Refers-To-Page-ID"),
         "payload": payload if with_payload and kind == "response" else None,
     }
 

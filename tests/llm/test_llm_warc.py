@@ -56,6 +56,28 @@ def test_files_are_gzip_members(spark):
     assert text.count(b"WARC/1.1\r\n") == 9
 
 
+def test_revisits_name_a_record(spark):
+    """As any reader sees the archive: ids are unique, and a revisit's reference is the response with its digest."""
+    rows = [(1, "u", "abc"), (2, "u", "abc"), (3, None, None), (None, "q", "abc"), (None, "q", "abc"), (4, "w", "")]
+    rows += [(5, "e", "dd")] * 3 + [(5, "e", "other"), (6, "e", "other")] + [(100 + i, "h", "hot") for i in range(50)]
+    df = spark.createDataFrame(rows, PAGES).selectExpr("*", "7 AS digest", "8 AS copy", "9 AS _copy", "'x' AS _digest", "1 AS first")
+    path = new_path(spark, "warc")
+    warc.write_warc(df.repartition(3), path)
+    heads = []
+    for f in glob.glob(f"{path}/part-*"):
+        for record in gzip.open(f).read().split(b"WARC/1.1\r\n")[1:]:
+            heads.append(dict(x.split(": ", 1) for x in record.split(b"\r\n\r\n")[0].decode().split("\r\n")))
+    assert len(heads) == len(rows)
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(by_id) == len(rows)
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == len(rows) - 5
+    for h in revisits:
+        named = by_id[h["WARC-Refers-To"]]
+        assert named["WARC-Type"] == "response" and named["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        assert named["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+
+
 def test_long_record_and_damage(spark, tmp_path):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([(1, "u", "ab" * (9 << 20)), (2, "u", "c")], PAGES).coalesce(1), path)
