@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +83,43 @@ def test_shards(spark):
     assert len({r.shard for r in got if r.doc_id == 7}) == 1
 
 
+def plain_shard(key, leaves, hashed):
+    """The walk down the tree, one key and one child at a time; ``hashed`` has the 64-bit hash of (label, key)."""
+
+    def draw(label, weight):
+        unit = ((hashed[label, key] % (1 << 64)) >> 11) + 0.5
+        return -math.log(unit / (1 << 53)) / weight
+
+    left, label = list(leaves), ""
+    for level in ("region", "rack", "shard"):
+        names = {}
+        for leaf in left:
+            names.setdefault(getattr(leaf, level), []).append(leaf)
+        at = lambda name: f"{label}/{name}" if label else str(name)
+        best = min(names, key=lambda name: draw(at(name), sum(x.weight for x in names[name])))
+        left, label = names[best], at(best)
+    return left[0].shard
+
+
+def test_query_equals_a_walk_down_the_tree(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    old = sharding.grid(2, 2, 2)
+    new = sharding.with_branch(old)
+    labels = {x for leaf in new for x in (leaf.region, f"{leaf.region}/{leaf.rack}", f"{leaf.region}/{leaf.rack}/{leaf.shard}")}
+    hashes = docs.select("doc_id").distinct().crossJoin(spark.createDataFrame([(x,) for x in sorted(labels)], "label string"))
+    hashed = {(r.label, r.doc_id): r.h for r in hashes.select("label", "doc_id", F.xxhash64("label", "doc_id").alias("h")).collect()}
+    got = QUERIES["op9_shard_documents"](spark, SMALL).collect()
+    want = []
+    for doc_id, text in docs.collect():
+        data = (text or "").encode()
+        want.append((doc_id, len(data) + 1, zlib.crc32(data), "key", plain_shard(doc_id, old, hashed), plain_shard(doc_id, new, hashed)))
+    rest = sorted((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got)
+    assert rest == sorted(want) and {r[5] for r in rest} == set(range(9))
+    for shard in range(8):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_weight_change_moves_keys_into_its_subtree_only(spark):
     keys = spark.range(5000)
     leaves = sharding.grid(2, 2, 2)
