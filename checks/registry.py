@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import code_corpus as C
 from sheaf.functions import encode, paths, sizes
-from sheaf.operators import assign, bundles, dedup, links, manifest, numbering, shards, select, whitespace
+from sheaf.operators import assign, bundles, dedup, links, manifest, numbering, patterns, select, shards, whitespace
 from sheaf.operators.clean import clean
 from sheaf.operators.comments import remove_comments, strip_comments
 from sheaf.options import CleanOptions, PackOptions
@@ -127,6 +127,37 @@ def glob_filter_documents(spark, sf_dir):
     ).select("doc_id", "path")
 
 
+# one pattern a part, of four kinds; the SQL compares numbers where the globs compare names
+_PATTERN = (
+    "CASE p_partkey % 4 WHEN 0 THEN concat(p_partkey, '.txt') WHEN 1 THEN concat('src1/*/', p_partkey, '?.txt')"
+    " WHEN 2 THEN concat('*', p_partkey, '.txt') ELSE concat('*/{en,fr}/', p_partkey, '[0-4]*.txt') END"
+)
+
+
+@query(
+    "glob_filter_table",
+    """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS kind FROM part),
+d AS (SELECT doc_id, source, lang, CAST(doc_id AS VARCHAR) AS name FROM documents),
+tens AS (SELECT range AS n, CAST(pow(10, range) AS BIGINT) AS ten FROM range(1, 12)),
+wanted AS (
+  SELECT d.doc_id FROM d JOIN p ON kind = 0 AND k = doc_id
+  UNION SELECT d.doc_id FROM d JOIN p ON kind = 1 AND source = 'src1' AND doc_id >= 10 AND k = doc_id // 10
+  UNION SELECT d.doc_id FROM d, tens, p WHERE kind = 3 AND lang IN ('en', 'fr') AND length(name) > n
+    AND k = CAST(left(name, n) AS BIGINT) AND substr(name, CAST(n AS INT) + 1, 1) IN ('0', '1', '2', '3', '4')
+), refused AS (
+  SELECT d.doc_id FROM d, tens, p WHERE kind = 2 AND length(name) >= n AND k = CAST(right(name, n) AS BIGINT)
+    AND length(CAST(k AS VARCHAR)) = n
+)
+SELECT doc_id FROM wanted WHERE doc_id NOT IN (SELECT doc_id FROM refused)
+""",
+)
+def glob_filter_table(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    globs = part.select(F.expr(_PATTERN).alias("pattern"), F.expr("p_partkey % 4 = 2").alias("exclude"))
+    return patterns.select_by_table(documents(spark, sf_dir), globs).select("doc_id")
+
+
 @query(
     "glob_filter_pages",
     f"SELECT page_id, path FROM {PAGES} WHERE regexp_matches(path, '^(.*/)?(en|de)/[^/]*\\.html$')"

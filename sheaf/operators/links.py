@@ -82,3 +82,19 @@ def distinct_files(files: DataFrame, path: str = "path", target: str = "target")
     chosen = chosen.select(F.col("_row.path").alias("_kept")).distinct()
     one = fine.join(chosen, F.col(path) == F.col("_kept"), "left_semi").dropDuplicates([path])
     return one.unionByName(resolved.where(F.col("link_error").isNotNull()))
+
+
+def kept_paths(chosen: DataFrame, known: DataFrame, path: str = "path", target: str = "target") -> DataFrame:
+    """``(path, link_error)`` of the rows of ``chosen`` that stay, when each identity stays once.
+
+    Links are followed through ``known``, which may hold files and links that were
+    not chosen: a link to such a file stands for it. Only paths are joined. Links
+    with an error stay, with their error. Null paths go.
+    """
+    each = known.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path"))
+    one = each.agg(F.min(F.struct(F.col(target).alias("to"))).alias("least")).select("path", F.col("least.to").alias("target"))
+    resolved = resolve_links(one).select("path", "identity", "link_error", F.col("target").isNotNull().alias("is_link"))
+    mine = resolved.join(chosen.select(F.col(path).alias("path")).distinct(), "path", "left_semi")
+    best = mine.where(F.col("link_error").isNull()).groupBy("identity").agg(F.min(F.struct("is_link", "path")).alias("row"))
+    stays = best.select(F.col("row.path").alias("path"), F.lit(None).cast("string").alias("link_error"))
+    return stays.unionByName(mine.where(F.col("link_error").isNotNull()).select("path", "link_error"))

@@ -17,6 +17,19 @@ def below_roots(path: Column, roots) -> Column:
     return let(clean_path(path), first_inside) if roots else path
 
 
+def located(df: DataFrame, roots=(), anchor: str = "relative", path: str = "path") -> tuple[DataFrame, Column]:
+    """Rows below one of the roots, and the path that patterns are matched with."""
+    column = F.col(path)
+    named = [] if any(r in ("", ".") for r in roots) else list(roots)
+    if named:
+        inside = below_roots(column, named)
+        itself = clean_path(column).isin([resolve_text(r) for r in named])
+        df = df.where(inside.isNotNull() | itself)
+        if anchor == "relative":
+            column = F.coalesce(inside, column)
+    return df, column
+
+
 def select_paths(
     df: DataFrame, include: str = "", exclude: str = "", roots=(), anchor: str = "relative", path: str = "path"
 ) -> DataFrame:
@@ -27,14 +40,7 @@ def select_paths(
     Patterns with a slash are matched below the root by default, so ``build/**``
     finds ``<root>/build``; ``anchor="absolute"`` matches the stored path.
     """
-    column = F.col(path)
-    named = [] if any(r in ("", ".") for r in roots) else list(roots)
-    if named:
-        inside = below_roots(column, named)
-        itself = clean_path(column).isin([resolve_text(r) for r in named])
-        df = df.where(inside.isNotNull() | itself)
-        if anchor == "relative":
-            column = F.coalesce(inside, column)
+    df, column = located(df, roots, anchor, path)
     return df.where(glob_filter(column, include, exclude))
 
 

@@ -41,6 +41,8 @@ class PackOptions:
     unique_paths: bool = False
     # of equal texts keep the one with the smallest path
     distinct_content: bool = False
+    # column of the corpus with the path a row links to, null for files: one row of each file stays
+    link_target: str | None = None
 
     def __post_init__(self) -> None:
         if not self.include:

@@ -14,6 +14,7 @@ from sheaf.operators.assign import assign_outputs, output_paths
 from sheaf.operators.bundles import render_bundles
 from sheaf.operators.clean import clean
 from sheaf.operators.dedup import content_identity, distinct_identity, distinct_paths
+from sheaf.operators.links import kept_paths
 from sheaf.operators.manifest import manifest, require_budget
 from sheaf.operators.select import drop_empty, select_paths, within_size
 from sheaf.options import PackOptions, output_format
@@ -34,8 +35,18 @@ def candidates(corpus: DataFrame, options: PackOptions, most: int | None = None)
 
     The size is checked before duplicates are dropped, so it reaches the scan. Of
     rows with one path the smallest is the one that counts either way.
+
+    With ``link_target`` a file and the links to it are one candidate, the file
+    where it is selected, else the smallest link. Links are followed over the whole
+    corpus, selected or not, and before any size is checked; a link that reaches no
+    file is a candidate with an error.
     """
     chosen = select_paths(corpus, options.include, options.exclude, options.roots, options.anchor)
+    if options.link_target is not None:
+        stays = kept_paths(chosen, corpus, "path", options.link_target)
+        stays = stays.select(F.col("path").alias("_kept"), F.col("link_error").alias("_link_error"))
+        chosen = chosen.join(stays, F.col("path") == F.col("_kept")).withColumn("error", F.coalesce("error", "_link_error"))
+        chosen = chosen.drop("_kept", "_link_error")
     if most is not None:
         chosen = within_size(chosen, most)
     return chosen if options.unique_paths else distinct_paths(chosen)

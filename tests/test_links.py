@@ -2,7 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sheaf.operators import links
+from sheaf.options import PackOptions
+from sheaf.plans.pack import pack_reported
+from sheaf.sources.tables import to_corpus
 
 
 def follow(target, path):
@@ -41,3 +46,23 @@ def test_without_links_or_rows(spark):
     df = spark.createDataFrame([("a", None), ("b", None), ("a", None)], "path string, target string")
     assert sorted((r.path, r.identity) for r in links.distinct_files(df).collect()) == [("a", "a"), ("b", "b")]
     assert links.resolve_links(df.where("1 = 0")).count() == 0
+
+
+def test_pack_takes_each_file_once_and_reports_links_that_reach_none(spark):
+    rows = [
+        ("src/a.go", None, "package a\n"), ("src/b.go", "src/a.go", "package a\n"), ("src/c.go", "src/b.go", "package a\n"),
+        ("src/m.go", "lib/only.txt", "package x\n"), ("src/n.go", "src/m.go", "package x\n"), ("lib/only.txt", None, "package x\n"),
+        ("src/dead.go", "gone", ""), ("src/r.go", "src/s.go", ""), ("src/s.go", "src/r.go", ""), ("src/a.go", None, "package a\n"),
+    ]
+    df = spark.createDataFrame(rows, "p string, target string, t string")
+    corpus = to_corpus(df, F.col("p"), F.col("t"), keep=("target",))
+    options = PackOptions(include="*.go", roots=("src",), link_target="target")
+    packed = pack_reported(corpus, options)
+    told = {r.path: (r.status, r.reason) for r in packed.manifest.collect()}
+    # a.go for itself and its two links; m.go for a file that no pattern selects, and for n.go
+    assert told == {
+        "src/a.go": ("INCLUDED", ""), "src/m.go": ("INCLUDED", ""), "src/dead.go": ("ERROR", links.BROKEN),
+        "src/r.go": ("ERROR", links.CYCLE), "src/s.go": ("ERROR", links.CYCLE),
+    }
+    bundle = packed.bundles.collect()
+    assert [r.documents for r in bundle] == [2]
