@@ -5,25 +5,31 @@ time, and binary-searches every benchmark suffix in it. A window of the
 benchmark that occurs gives the places it occurs at; windows that follow each
 other on both sides join to the longest verbatim matches.
 
-The benchmark goes to the tasks in blocks of bounded size; all documents are
-held against all blocks, so it may be larger than a task's memory.
+The benchmark is written to the shared folder in blocks of bounded size, which
+the tasks read one at a time; all documents are held against all blocks. Neither
+the driver nor a task holds more than one block, so the benchmark may be larger
+than the memory of either. A benchmark of one block is read once a task, a larger
+one once for each slice of documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheaf.llm.files import opened
+from sheaf.llm.store import new_path
 from sheaf.llm.words import ALNUM, LOWER, Texts, prefix_sums, slices, stretch_hashes
 
-#: Bytes of benchmark text that are sent to the tasks at once.
+#: Bytes of benchmark text that a task holds at once, about.
 BLOCK = 16 << 20
 
 MATCH = T.StructType(
@@ -57,16 +63,16 @@ def _words(texts: Texts):
     return data, starts, ends, owner, stretch_hashes(prefix_sums(data), starts, ends)
 
 
-def block_of(rows: list, n: int) -> Block:
-    texts = next(slices(pa.array([r[1] for r in rows], pa.large_string()), 1 << 62))
+def block_of(items: pa.Table, n: int) -> Block:
+    texts = next(slices(items.column("text").cast(pa.large_string()).combine_chunks(), 1 << 62))
     data, starts, ends, owner, hashes = _words(texts)
-    counts = np.bincount(owner, minlength=len(rows))
+    counts = np.bincount(owner, minlength=len(items))
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     windows = np.where(counts == 0, 0, np.maximum(1, counts - n + 1))
-    item = np.repeat(np.arange(len(rows)), windows)
+    item = np.repeat(np.arange(len(items)), windows)
     place = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
     return Block(
-        [r[0] for r in rows],
+        items.column("item_id").to_pylist(),
         data,
         starts,
         ends,
@@ -78,18 +84,40 @@ def block_of(rows: list, n: int) -> Block:
     )
 
 
-def blocks_of(benchmark: DataFrame, n: int) -> Iterator[Block]:
-    """The benchmark in blocks of about ``BLOCK`` bytes; only one block is on the driver at a time."""
+def write_blocks(benchmark: DataFrame) -> list[str]:
+    """Write the benchmark in blocks of about ``BLOCK`` bytes, a file each, and name the files. The driver sees no text."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").alias("text")
     ).where("length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK))
-    for part in range(parts):
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = held.collect()
-        if rows:
-            yield block_of(sorted(rows), n)
+    if not size:
+        return []
+    parts = -(-size // BLOCK)
+    path = new_path(benchmark.sparkSession, "benchmark")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    dealt.repartition(parts, "block").write.partitionBy("block").parquet(path)
+    return sorted(benchmark.sparkSession.read.parquet(path).inputFiles())
+
+
+def read_block(file: str, n: int) -> Block:
+    with opened(file) as data:
+        items = pq.read_table(data, columns=["item_id", "text"])
+    return block_of(items.sort_by([("item_id", "ascending"), ("text", "ascending")]), n)
+
+
+def held_blocks(files: list[str], n: int) -> Callable[[], Iterator[Block]]:
+    """All blocks, one in memory at a time; the last one read stays for the next round, which begins with it."""
+    held: list[tuple[str, Block]] = []
+
+    def blocks() -> Iterator[Block]:
+        first = held[0][0] if held else None
+        for file in sorted(files, key=lambda f: f != first):
+            if not held or held[0][0] != file:
+                held.clear()
+                held.append((file, read_block(file, n)))
+            yield held[0][1]
+
+    return blocks
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -257,8 +285,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, prefi
     clash = {f.name for f in added} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist already, choose a prefix: {sorted(clash)}")
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(block) for block in blocks_of(benchmark, n)]
+    files = write_blocks(benchmark)
     where = docs.columns.index("text")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     match = pa.list_(
@@ -266,17 +293,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, prefi
     )
 
     def search(batches):
+        blocks = held_blocks(files, n)
         for batch in batches:
             rows: list[tuple] = []
             for texts in slices(batch.column(where)):
-                rows += matches_in(texts, (b.value for b in blocks), n)
+                rows += matches_in(texts, blocks(), n)
             columns = [
                 pa.array([r[0] for r in rows], kinds[0]),
                 pa.array([r[1] for r in rows], kinds[1]),
                 pa.array([len(r[2]) for r in rows], kinds[2]),
                 pa.array([_digest(r[2]) for r in rows], kinds[3]),
                 pa.array(
-                    [[dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in r[3]] for r in rows],
+                    [[dict(zip(("item_id", "item_word", "doc_word", "n_words"), m, strict=True)) for m in sorted(r[3])] for r in rows],
                     match,
                 ),
             ]
