@@ -111,22 +111,24 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], rows: int, slot:
     A shard can hold any share of the rows, so none is numbered in one task:
     rows fall into hash groups of about ``GROUP_ROWS`` rows, groups are
     numbered by themselves and shifted by the sizes of the groups before them.
-    ``rows`` only sets the number of groups. Reruns agree; rows alike in all
-    ``order`` columns are interchangeable.
+    Rows alike in all columns are one row with a count until their numbers are
+    known, and the hash is over all ``order`` columns, so neither copies of one row
+    nor one id with many texts meet in one group. ``rows`` only sets the number of
+    groups. ``order`` and ``shard`` should tell rows apart; then reruns agree.
     """
     groups = 1
     while groups * GROUP_ROWS < rows:
         groups *= 2
-    dealt = df.withColumn("_group", F.pmod(F.xxhash64(F.lit("slot"), F.col(order[0])), F.lit(groups)).cast("int"))
-    sizes = dealt.groupBy(F.col(shard).alias("_s"), F.col("_group").alias("_g")).agg(F.count("*").alias("_n"))
+    alike = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    dealt = alike.withColumn("_group", F.pmod(F.xxhash64(F.lit("slot"), *order), F.lit(groups)).cast("int"))
+    sizes = dealt.groupBy(F.col(shard).alias("_s"), F.col("_group").alias("_g")).agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_s", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard, "_group").orderBy(*order)
-    numbered = dealt.withColumn("_place", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(starts, (F.col(shard) == F.col("_s")) & (F.col("_group") == F.col("_g")))
-        .withColumn(slot, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_group", "_s", "_g", "_start", "_place")
+    starts = sizes.select("_s", "_g", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(shard, "_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_place", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    first = (F.col("_start") + F.col("_place")).cast("long")
+    return placed.join(starts, (F.col(shard) == F.col("_s")) & (F.col("_group") == F.col("_g"))).select(
+        *df.columns, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias(slot)
     )
 
 

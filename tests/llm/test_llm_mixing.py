@@ -144,3 +144,21 @@ def test_empty_shards(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     leaves = sharding.grid(2, 2, 2)
     assert sharding.place_documents(none, leaves, leaves).collect() == []
+
+
+def test_slots_of_rows_that_share_an_id_or_everything(spark):
+    # one id has half of the rows, each with a text of its own; another third has neither id nor text
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 6 < 3 THEN 7 WHEN id % 6 < 5 THEN NULL ELSE id END AS doc_id",
+        "CASE WHEN id % 6 IN (3, 4) THEN NULL ELSE concat('text ', id) END AS text",
+    )
+    leaves = sharding.grid(2, 2, 2)
+    placed = sharding.place_documents(rows, leaves, sharding.with_branch(leaves))
+    told = placed.groupBy("shard").agg(
+        F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")
+    )
+    got = told.collect()
+    assert sum(r.n for r in got) == 60_000
+    assert all((r.slots, r.low, r.high) == (r.n, 0, r.n - 1) for r in got)
+    assert placed.where("doc_id IS NULL").groupBy("size", "text_crc32").count().collect()[0]["count"] == 20_000
+    assert placed.where("doc_id = 7").select("text_crc32").distinct().count() > 29_990
