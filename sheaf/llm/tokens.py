@@ -32,6 +32,7 @@ from sheaf.llm.encoding import encoder
 from sheaf.llm.files import Window as Bytes
 from sheaf.llm.files import list_files, rows_of, write_records
 from sheaf.llm.words import mixed, slices
+from sheaf.operators.numbering import number_documents
 
 MAGIC = b"IDS1"
 #: Bytes of ids in a block, about.
@@ -126,11 +127,12 @@ def read_heads(spark: SparkSession, path: str) -> DataFrame:
     totals = heads.groupBy("part", "piece").agg(F.sum("n").alias("_ids"))
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", "piece", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_start"))
-    alike = Window.partitionBy("key").orderBy("part", "piece", "in_file")
-    return (
-        heads.join(starts, ["part", "piece"])
-        .withColumn("nth", F.row_number().over(alike) - 1)
-        .select("key", "nth", "file", "width", "offset", (F.col("_start") + F.col("in_file")).alias("start"), "n")
+    placed = heads.join(starts, ["part", "piece"]).select(
+        "key", "file", "width", "offset", (F.col("_start") + F.col("in_file")).alias("start"), "n"
+    )
+    # a key of very many documents is numbered over ranges of them
+    return number_documents(placed, "key", ["start", "offset"]).select(
+        "key", (F.col("index") - 1).cast("int").alias("nth"), "file", "width", "offset", "start", "n"
     )
 
 
