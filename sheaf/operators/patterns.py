@@ -1,29 +1,33 @@
 """Globs that are a table: however many there are, a path meets only those that can match it.
 
-Every pattern is filed under one key, a literal part that each path it matches
-must have: its file name, how the name begins or ends, or the folders it starts
-in. A path looks up the keys it has, and the pattern's regular expression, the
-same as for a list of patterns, decides.
+Every pattern is filed under one key, all the literal text that each path it
+matches must have at fixed places: the folders it starts in, and how its file name
+begins and ends, or the whole name. The kind of a key says how many folders and
+characters that are. A path looks up one key for each kind there is among the
+patterns, and the pattern's regular expression, the same as for a list of
+patterns, decides.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.globs import expand_patterns, glob_regex
-from sheaf.functions.paths import base_name, extension
+from sheaf.functions.paths import base_name, let
 from sheaf.operators.select import located
 from sheaf.session import written
 
-#: How many characters of a name's beginning make a key.
-HEADS = (8, 4, 2)
-#: Key of patterns without any literal part; every path looks it up.
-ANY = "any"
+#: How many leading folders, and characters of a name's beginning and end, make a key; a few numbers bound the kinds.
+FOLDERS = (0, 1, 2, 4)
+LENGTHS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24)
+#: In the place of a length: the whole name.
+WHOLE = -1
+KINDS = [f"{n},{head},{tail}" for n in FOLDERS for head in LENGTHS for tail in LENGTHS] + [f"{n},{WHOLE},0" for n in FOLDERS]
 
 _TOKENS = re.compile(r"\[[!^]?(?:\\.|[^\\\]])+\]|\*+|\?|\{\}|\\.|.", re.S)
 
@@ -41,40 +45,54 @@ def _literals(segment: str) -> tuple[str, str, bool]:
     return runs[0], runs[-1], len(runs) == 1
 
 
+def _most(sizes: Sequence[int], length: int) -> int:
+    return max(n for n in sizes if n <= length)
+
+
 def pattern_key(pattern: str) -> str:
-    """The key of one brace-free glob, the most telling first."""
+    """The key of one brace-free glob, its kind before the colon."""
     *folders, name = pattern.split("/")
     head, tail, whole = _literals(name)
-    if whole:
-        return "n:" + head
     leading: list[str] = []
     for folder in folders:
         literal, _, plain = _literals(folder)
         if not plain:
             break
         leading.append(literal)
-    fits = [n for n in HEADS if len(head) >= n]
-    if fits and fits[0] == HEADS[0]:
-        return f"{fits[0]}:{head[: fits[0]]}"
-    if len(leading) > 1:
-        return "d:" + "/".join(leading)
-    if fits and fits[0] == HEADS[1]:
-        return f"{fits[0]}:{head[: fits[0]]}"
-    if "." in tail:
-        return "x:" + tail.rpartition(".")[2]
-    if leading:
-        return "d:" + leading[0]
-    return f"{fits[0]}:{head[: fits[0]]}" if fits else ANY
-
-
-def _path_keys(path: Column) -> Column:
-    name, parts = base_name(path), F.split(path, "/", -1)
-    longer = [F.when(F.char_length(name) >= n, F.concat(F.lit(f"{n}:"), F.substring(name, 1, n))) for n in HEADS]
-    ends = F.when(F.contains(name, F.lit(".")), F.concat(F.lit("x:"), extension(path)))
-    folders = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    n = _most(FOLDERS, len(leading))
+    inside = "/".join(leading[:n])
+    if whole:
+        return f"{n},{WHOLE},0:{inside}/{head}/"
+    first, last = _most(LENGTHS, len(head)), _most(LENGTHS, len(tail))
+    return f"{n},{first},{last}:{inside}/{head[:first]}/{tail[len(tail) - last :]}"
+
+
+def _path_keys(path: Column, kinds: Sequence[str] = KINDS) -> Column:
+    """The keys of these kinds that a path has."""
+    sizes = [[int(n) for n in kind.split(",")] for kind in kinds]
+    shapes = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("folders"), F.lit(head).alias("head"), F.lit(tail).alias("tail"))
+            for kind, (n, head, tail) in zip(kinds, sizes, strict=True)
+        ]
     )
-    return F.concat(F.array_compact(F.array(F.lit(ANY), F.concat(F.lit("n:"), name), *longer, ends)), folders)
+
+    def keys(of: Column) -> Column:
+        name, parts, length = of["name"], of["parts"], of["length"]
+
+        def key(shape: Column) -> Column:
+            n, head, tail = shape["folders"], shape["head"], shape["tail"]
+            inside = F.array_join(F.slice(parts, F.lit(1), n), "/")
+            first = F.when(head == WHOLE, name).otherwise(F.substring(name, F.lit(1), head))
+            whole = F.concat(shape["kind"], F.lit(":"), inside, F.lit("/"), first, F.lit("/"), F.substring(name, -tail, tail))
+            # wildcards stand between beginning and end, so the two don't overlap
+            return F.when((F.size(parts) >= n) & (length >= head + tail), whole)
+
+        return F.array_compact(F.transform(shapes, key))
+
+    name = base_name(path)
+    parts = F.split(path, "/", -1)
+    return let(F.struct(name.alias("name"), parts.alias("parts"), F.char_length(name).alias("length")), keys)
 
 
 def pattern_index(patterns: DataFrame) -> DataFrame:
@@ -99,7 +117,10 @@ def pattern_index(patterns: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "on_name", "refuse", "regex", "error"], dtype=object)
 
     asked = patterns.select(F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("exclude", F.lit(False)).alias("exclude"))
-    parsed = asked.distinct().mapInPandas(parse, "key string, on_name boolean, refuse boolean, regex string, error string")
+    # a fixed number of tasks: small rows that take long would be gathered in one
+    cores = patterns.sparkSession.sparkContext.defaultParallelism
+    dealt = asked.repartition(cores, "pattern", "exclude").distinct()
+    parsed = dealt.mapInPandas(parse, "key string, on_name boolean, refuse boolean, regex string, error string")
     return parsed.distinct()
 
 
@@ -108,14 +129,18 @@ def select_by_table(df: DataFrame, patterns: DataFrame, roots=(), anchor: str =
 
     The patterns' index is written down first, so Spark knows its size and sends it
     to all tasks only where it is small; else both sides are shuffled by the key and
-    a key of very many paths is split. Only paths are joined, once each; the rows
-    themselves move once to meet the paths that stay. A null path passes only where
-    there is no pattern. A pattern that does not parse raises ``ValueError``.
+    a key of very many paths is split. The kinds of keys, at most all ``KINDS``, come to
+    the driver. Only paths are joined, once each; the rows themselves move once to meet
+    the paths that stay. A null path passes only where there is no pattern. A pattern
+    that does not parse raises ``ValueError``.
     """
     df, column = located(df, roots, anchor, path)
     index = written(pattern_index(patterns), "patterns")
     told = index.agg(
-        F.min("error").alias("error"), F.count_if(~F.col("refuse")).alias("include"), F.count_if("refuse").alias("exclude")
+        F.min("error").alias("error"),
+        F.count_if(~F.col("refuse")).alias("include"),
+        F.count_if("refuse").alias("exclude"),
+        F.collect_set(F.substring_index("key", ":", 1)).alias("kinds"),
     ).first()
     if told["error"]:
         raise ValueError(told["error"])
@@ -123,7 +148,7 @@ def select_by_table(df: DataFrame, patterns: DataFrame, roots=(), anchor: str =
         return df
     asked = df.select(column.alias("_glob_path")).where(F.col("_glob_path").isNotNull()).distinct()
     place = F.col("_glob_path")
-    met = asked.select("_glob_path", F.explode(_path_keys(place)).alias("key")).join(index, "key")
+    met = asked.select("_glob_path", F.explode(_path_keys(place, sorted(told["kinds"]))).alias("key")).join(index, "key")
     text = F.when(F.col("on_name"), base_name(place)).otherwise(place)
     hit = met.where(F.regexp_like(text, F.concat(F.lit("(?s)^(?:"), F.col("regex"), F.lit(")\\z"))))
     found = hit.groupBy("_glob_path").agg(F.bool_or("refuse").alias("_out"), F.bool_or(~F.col("refuse")).alias("_in"))

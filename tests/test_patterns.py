@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -65,3 +66,40 @@ def test_a_pattern_that_does_not_parse_is_named(spark):
     table = spark.createDataFrame([("*.go", False), ("a{b", False)], "pattern string, exclude boolean")
     with pytest.raises(ValueError, match="brace"):
         P.select_by_table(spark.createDataFrame([("a.go",)], "path string"), table)
+
+
+def test_patterns_that_differ_in_beginning_or_end_share_no_key(spark):
+    """Of thousands of patterns with one extension a path meets a few, not all."""
+    globs = [
+        form
+        for k in range(1, 4001)
+        for form in ([f"*{k}.txt"], [f"src1/*/{k}?.txt"], [f"*/{x}/{k}[0-4]*.txt" for x in ("en", "fr")], [f"d{k}/**/test_*_{k}.txt"])[k % 4]
+    ]
+    filed = Counter(P.pattern_key(glob) for glob in globs)
+    paths = [f"src{i % 3}/en/{i}.txt" for i in range(1000)]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    keys = {r.path: r["keys"] for r in df.select("path", P._path_keys(df.path).alias("keys")).collect()}
+    assert max(sum(filed[key] for key in keys[p]) for p in paths) <= 20
+
+
+def test_random_globs_have_keys_of_the_paths_they_match(spark):
+    rng = random.Random(7)
+    pieces = ["a", "ab", "é", "1", ".", "long" * 8, "*", "?", "[ab]", "{}", "\\*", "/", "/", "**/", "/**"]
+    globs, paths = set(), set()
+    while len(globs) < 3000:
+        glob = "".join(rng.choices(pieces, k=rng.randrange(1, 7)))
+        if not re.search(r"\*\*\*", glob):
+            globs.add(glob)
+    for glob in globs:
+        fill = re.sub(r"\*+|\?|\[ab\]", lambda m: rng.choice(["", "a", "b", "ab"]), glob.replace("\\*", "\0"))
+        paths.add(fill.replace("{}", "").replace("\0", "*"))
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    keys = {r.path: set(r["keys"]) for r in df.select("path", P._path_keys(df.path).alias("keys")).collect()}
+    met = 0
+    for glob in globs:
+        test = re.compile("(?s:" + glob_regex(glob) + r")\Z")
+        for path in paths:
+            if test.match(path if "/" in glob else path.rpartition("/")[2]):
+                met += 1
+                assert P.pattern_key(glob) in keys[path], (glob, path)
+    assert met > 3000
