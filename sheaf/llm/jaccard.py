@@ -108,18 +108,21 @@ def class_hashes(grams: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarra
     serves the levels below in which a linked set can lie. A level has more
     classes than a pair of it can differ in, so one is the same in both.
 
-    A class without a gram outside ``common`` is weak: empty, or alike in many
-    unrelated sets. If a pair's only equal classes are weak, all their other
-    classes differ, so both have no more of these than they can differ in. Only
-    such sets hand in their weak classes, and nothing is lost.
+    A class of few grams is alike in unrelated sets, and the larger the corpus,
+    the more of them it ties together. So a set hands in its strongest classes
+    only, those with the most grams, of which any outside ``common`` counts twice:
+    one class more than it can differ in, and those as strong as the last. Of two
+    linked sets take the one that asks for more strength: one of its classes is the
+    same in the other, which hands it in too, since it asks for no more. So nothing
+    is lost; empty classes are the last.
     """
     size, out = len(grams), []
     edges = level_edges(size)
     level = int(np.searchsorted(edges, size, "right")) - 1
     spread = mixed(grams ^ np.uint64(0x5851F42D4C957F2D))
-    rare = np.ones(size, bool)
+    weight = np.full(size, 2)
     if len(common):
-        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
+        weight -= common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
     for k in range(level, -1, -1):
         largest = edges[k + 1] - 1
         if k < level and 100 * largest < rule.percent * size:
@@ -127,16 +130,16 @@ def class_hashes(grams: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarra
         differ = rule.differ(largest)
         if not differ:
             continue
-        classes = differ + 2 + differ // 16
+        classes = differ + 2 + differ // 2
         of = (spread % np.uint64(classes)).astype(np.int64)
         sums = np.zeros(classes, np.uint64)
         order = np.argsort(of)
         ranked = of[order]
         first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         sums[ranked[first]] = np.add.reduceat(mixed(spread[order]), first)
-        names = np.flatnonzero(np.bincount(of[rare], minlength=classes))
-        if len(names) <= min(differ, rule.differ(size)):
-            names = np.arange(classes)
+        strength = np.bincount(of, weights=weight, minlength=classes)
+        last = classes - 1 - min(differ, rule.differ(size))
+        names = np.flatnonzero(strength >= np.partition(strength, last)[last])
         out.append(mixed(sums[names] + mixed(names.astype(np.uint64) + np.uint64(k << 40))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -568,12 +571,11 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     linked = named_components(plain, rule).where(F.col("set").isNotNull())
     kept = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "set")
     # rows of one doc_id and set may differ in blanks: the text of the smallest hashes
-    kept = kept.agg(F.min(F.struct("_h1", "_h2")).alias("_text")).select(
-        F.col("doc_id").alias("_kept_id"), F.col("_text._h1").alias("_k1"), F.col("_text._h2").alias("_k2")
-    )
+    # nulls in a struct are equal: the join is by the columns that rows are made one by, and whole rows move once
+    key = F.struct("doc_id").alias("_key")
+    kept = kept.agg(F.min(F.struct("_h1", "_h2")).alias("_text")).select(key, "_text._h1", "_text._h2")
     worded = F.coalesce(F.col("text").rlike(A_WORD), F.lit(False))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
-    # whole rows move once; equal ones are one row before they do
-    one = named(plain.where(worded)).dropDuplicates(["doc_id", "_h1", "_h2"]).join(kept, same, "left_semi")
+    names_of = ["_key", "_h1", "_h2"]
+    one = named(plain.where(worded)).select("*", key).dropDuplicates(names_of).join(kept, names_of, "left_semi")
     order = [c if c in ("doc_id", "text") else own[k] for k, c in enumerate(names)]
     return one.select(*order).unionAll(plain.where(~worded).select(*order)).toDF(*names)

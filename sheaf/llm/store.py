@@ -25,8 +25,17 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """``df`` written once to the shared folder as Parquet and read back: lineage ends here."""
-    path = new_path(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder as Parquet and read back: lineage ends here, and its shuffle files go."""
+    spark = df.sparkSession
+    path, before = new_path(spark, kind), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
