@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from sheaf.llm import jaccard
+from sheaf.llm import jaccard, repeats
 from sheaf.llm.store import CLEANUP, stored
 
 
@@ -32,6 +32,22 @@ def test_stored_leaves_no_shuffle_files(spark):
     assert table.count() == 10 and spark.conf.get(CLEANUP, None) == setting
 
 
+def test_repeats_move_texts_after_stretches_are_gone(spark, monkeypatch):
+    left = []
+
+    def watched(df, kind):
+        before = shuffle_files(spark)
+        out = stored(df, kind)
+        left.append((kind, left_since(spark, before)))
+        return out
+
+    monkeypatch.setattr(repeats, "stored", watched)
+    text = " ".join(f"word{k}" for k in range(60))
+    df = spark.createDataFrame([(i, f"{text} and {i}") for i in range(20)], "doc_id long, text string").repartition(3)
+    assert repeats.remove_repeats(df).where("n_removed > 0").count() == 19
+    assert left == [("flags", set()), ("cuts", set())]
+
+
 def test_one_gram_in_common_ties_no_sets():
     rng, rule, none = np.random.default_rng(4), jaccard.Rule(5, 80), np.empty(0, np.uint64)
     for _ in range(3000):
